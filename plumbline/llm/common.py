@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text of about this many bytes is worked on at once, so a worker's memory depends on it and on the longest document.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 

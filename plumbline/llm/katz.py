@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
 K = 5
+#: What stands for a null doc_id in blocks.
+_NO_ID = -(2**63)
 #: The end of a text, as a word's hash; and the beginning, as a first word's id.
 END, BEGIN = np.uint64(2**64 - 1), np.uint64(2**32 - 1)
 
@@ -92,7 +94,7 @@ def _pack(limit: int):
                 flat, offs = C.split_words(pc.ascii_lower(C.texts_of(b)))
                 codes, strings = C.coded(flat)
                 h = np.insert(C.hash_strings(strings)[codes], offs[1:], END)
-                docs.append(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
+                docs.append(pc.fill_null(b.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False))
                 sizes.append(np.diff(offs) + 1)
                 words.append(h)
                 n += len(h)
@@ -320,8 +322,8 @@ def _scores(parts: int, d: np.ndarray, uni: Unigram, seen: int):
             prob = np.where(r > 0, discounted(r, d) / np.maximum(total, 1e-300), alpha * uni(n))
             offs = np.concatenate([[0], np.cumsum(sizes)])
             base = np.log10((n + 1.0) / (uni.total + seen + 1.0))
-            cols = [docs, held, sizes, np.add.reduceat((n > 0).astype(np.int64), offs[:-1]), np.full(len(docs), uni.total), np.add.reduceat(base, offs[:-1]), np.add.reduceat(np.log10(prob), offs[:-1])]
-            out.append(pa.Table.from_arrays([pa.array(c) for c in cols], schema=_SCORES))
+            cols = [pa.array(docs, mask=docs == _NO_ID), held, sizes, np.add.reduceat((n > 0).astype(np.int64), offs[:-1]), np.full(len(docs), uni.total), np.add.reduceat(base, offs[:-1]), np.add.reduceat(np.log10(prob), offs[:-1])]
+            out.append(pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], schema=_SCORES))
         return pa.concat_tables(out) if out else _table([], _SCORES)
 
     return run

@@ -17,7 +17,6 @@ import hashlib
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -35,51 +34,98 @@ WINDOW, MASK_BITS, MIN_IDS, MAX_IDS = 16, 9, 128, 4096
 #: Documents under one leaf block of the manifest; segments are as many as the shuffle has partitions.
 BLOCK = 1024
 #: Words whose ids a worker remembers, at most (two generations of half as many).
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _CRC_POLY = 0xEDB88320
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across ASCII white space, so each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that never joins across ASCII white space, so each distinct word is encoded once.
+
+    Runs of plain letters, and the marks right after them, are pieces of their own that no normalisation but lower case
+    changes; these go to the library's model without its slower normaliser, all other words through the whole tokenizer.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.half = remembered // 2
+        self.limit = remembered
         self.lowers = "Lowercase" in str(self.tok.normalizer)  # then folding A-Z before changes nothing
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        out = [young.get(w) or old.get(w) for w in words]
-        todo = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(todo, self.tok.encode_batch_fast([words[i] for i in todo], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.dtype).tobytes()
-        for w, x in zip(words, out, strict=True):
-            if len(young) >= self.half:
-                self.old, self.young = young, {}
-                young = self.young
-            young[w] = x
-        return out
+        suffix = self.tok.model.end_of_word_suffix if isinstance(self.tok.model, BPE) else None
+        self.plain = bool(self.lowers and suffix and "ByteLevel" in str(self.tok.pre_tokenizer))
+        self.pieces = Tokenizer(self.tok.model)
+        self.pieces.pre_tokenizer = WhitespaceSplit()
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.known, self.ids, self.offs = pa.array([], pa.string()), np.empty(0, self.dtype), np.zeros(1, np.int64)
+
+    def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], self.dtype), np.concatenate([[0], np.cumsum([len(ids) for ids in got])]).astype(np.int64)
+
+    def _letters(self, cores: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """With white space between them each run is a piece, and only its last id ends a word."""
+        text = " ".join(cores.to_pylist()).lower().translate(_BYTE_LEVEL)
+        ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        return ids, np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, and where they begin."""
+        easy = pc.match_substring_regex(words, f"^{_LETTERS}+{_MARKS}*$").to_numpy(zero_copy_only=False) if self.plain else np.zeros(len(words), bool)
+        parts = []  # (which words, (ids, offs), which entry of it each word has), in the order in which they follow in a word
+        if easy.any():
+            w = words.filter(pa.array(easy))
+            for piece, encode in ((pc.replace_substring_regex(w, f"{_MARKS}*$", ""), self._letters), (pc.replace_substring_regex(w, f"^{_LETTERS}+", ""), self._whole)):
+                code, names = C.coded(piece)
+                parts.append((np.flatnonzero(easy), encode(names), code))
+        if not easy.all():
+            odd = np.flatnonzero(~easy)
+            parts.append((odd, self._whole(words.filter(pa.array(~easy))), np.arange(len(odd))))
+        size = np.zeros(len(words), np.int64)
+        for which, (_, offs), code in parts:
+            size[which] += np.diff(offs)[code]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        out, at = np.empty(starts[-1], self.dtype), starts[:-1].copy()
+        for which, (ids, offs), code in parts:
+            lens = np.diff(offs)[code]
+            out[C.gather(at[which], lens)] = ids[C.gather(offs[code], lens)]
+            at[which] += lens
+        return out, starts
 
     def encode(self, arr: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's ids begin."""
         flat, offs = C.split_words(pc.ascii_lower(arr) if self.lowers else arr)
         codes, words = C.coded(flat)
-        parts = self._ids(words.to_pylist())
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        fresh = words.filter(pa.array(new))
+        ids, fresh_offs = self._new(fresh) if len(fresh) else (np.empty(0, self.dtype), np.zeros(1, np.int64))
+        at[new] = len(self.known) + np.arange(len(fresh))
+        self.known, self.offs = pa.concat_arrays([self.known, fresh]), np.concatenate([self.offs, self.offs[-1] + fresh_offs[1:]])
+        self.ids = np.concatenate([self.ids, ids])
+        starts, lens = self.offs[at], np.diff(self.offs)[at]
+        table = self.ids
         if end_id is not None:
-            codes, offs = np.insert(codes, offs[1:], len(parts)), offs + np.arange(len(offs))
-            parts = [*parts, np.array([end_id], self.dtype).tobytes()]
-        table = np.frombuffer(b"".join(parts), self.dtype)
-        lens = np.array([len(p) for p in parts], np.int64) // self.dtype.itemsize
-        starts = np.cumsum(lens) - lens
+            codes, offs = np.insert(codes, offs[1:], len(starts)), offs + np.arange(len(offs))
+            starts, lens, table = np.append(starts, len(table)), np.append(lens, 1), np.append(table, self.dtype.type(end_id))
         each = lens[codes]
-        return table[C.gather(starts[codes], each)], np.concatenate([[0], np.cumsum(each)])[offs]
+        out = table[C.gather(starts[codes], each)], np.concatenate([[0], np.cumsum(each)])[offs]
+        if len(self.known) > self.limit:  # go on with the words of this slice only
+            self.known, size = words, lens[: len(words)]
+            self.ids, self.offs = table[C.gather(starts[: len(words)], size)], np.concatenate([[0], np.cumsum(size)])
+        return out
 
 
+_LETTERS = "[a-zß-öø-ÿÀ-ÖØ-Þ]"
+_MARKS = r"[!-&(-/:-@\[-`{-~]"
+#: Byte-level spelling: a byte that prints stands for itself, the others for the code points from 256 on, in their order.
+_PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELT = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTS}))}
+_BYTE_LEVEL = {c: "".join(_SPELT[b] for b in chr(c).encode()) for c in (*range(0x61, 0x7B), *range(0xDF, 0x100))}
 _GEAR = C.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -112,19 +158,21 @@ _CHUNKS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", p
 
 def _chunker(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, rids = WordEncoder(path), count(TaskContext.get().partitionId() << 40)
+        enc, rid = WordEncoder(path), TaskContext.get().partitionId() << 40
         for whole in batches:
-            for b in C.slices(whole):
+            for b in C.slices(whole, limit=3 * C.SLICE_BYTES):
                 ids, offs = enc.encode(C.texts_of(b), end_id)
-                raw, w = ids.tobytes(), enc.dtype.itemsize
-                rows = []
-                for doc, s, e, ends in zip(b.column("doc_id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), cuts(ids, offs), strict=True):
-                    rid, at = next(rids), s
-                    for pos, to in enumerate(ends):
-                        part = raw[at * w : to * w]
-                        rows.append((rid, doc, e - s, pos, at - s, to - at, hashlib.blake2b(part, digest_size=16).digest(), part))
-                        at = to
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CHUNKS, strict=True)], schema=_CHUNKS)
+                ends = cuts(ids, offs)
+                each = np.array([len(x) for x in ends], np.int64)
+                to = np.array([i for x in ends for i in x], np.int64)
+                at = np.concatenate([offs[:1], to[:-1]])
+                doc = np.repeat(np.arange(len(each)), each)
+                w, raw = enc.dtype.itemsize, memoryview(ids).cast("B")
+                digests = [hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip((at * w).tolist(), (to * w).tolist(), strict=True)]
+                payload = pa.Array.from_buffers(pa.binary(), len(to), [None, pa.py_buffer(np.concatenate([at[:1], to]).astype(np.int32) * w), pa.py_buffer(ids)])
+                cols = [rid + doc, b.column("doc_id").take(pa.array(doc)), np.diff(offs)[doc], (np.arange(len(to)) - (np.cumsum(each) - each)[doc]).astype(np.int32), at - offs[:-1][doc], (to - at).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(digests, pa.binary()), payload], schema=_CHUNKS)
+                rid += b.num_rows
 
     return run
 
@@ -190,11 +238,14 @@ def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def _facts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for want, n, raw in zip(*(b.column(c).to_pylist() for c in ("digest", "n", "payload")), strict=True):
-                if hashlib.blake2b(raw, digest_size=16).digest() != want or len(raw) != n * width:
+            col, out = pa.concat_arrays([b.column("payload")]), []
+            at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+            raw = memoryview(col.buffers()[2] or b"")[int(at[0]) : int(at[-1])]
+            wide, at = memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4")).cast("B"), at - at[0]
+            for want, n, s, e in zip(b.column("digest").to_pylist(), b.column("n").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if hashlib.blake2b(raw[s:e], digest_size=16).digest() != want or e - s != n * width:
                     raise ValueError(f"chunk {want.hex()} is damaged")
-                out.append(zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()))
+                out.append(zlib.crc32(wide[s * 4 // width : e * 4 // width]))
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(out, pa.int64())], names=["digest", "crc"])
 
     return run
