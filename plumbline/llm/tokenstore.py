@@ -186,7 +186,7 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None
     """Encode ``docs`` (doc_id, text) and write chunks, recipes and manifest under ``root``."""
     spark = docs.sparkSession
     rows = C.stage(C.plain(docs, "doc_id", "text").mapInArrow(_chunker(tokenizer, end_id), "rid long, doc_id long, n_tokens long, pos int, off long, n int, digest binary, payload binary"), "ids")
-    rows.select("digest", "n", "payload").dropDuplicates(["digest"]).write.parquet(f"{root}/chunks")
+    rows.select("digest", "n", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{root}/chunks")
     recipes = rows.groupBy("rid", "doc_id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "off", "n", "digest"))).alias("parts"))
     recipes = recipes.withColumn("root", merkle_root("parts.digest"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
