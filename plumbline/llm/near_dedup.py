@@ -3,7 +3,8 @@
 1. Documents with equal shingle sets (128-bit sums) form one class; only its smallest doc_id goes on.
 2. Signatures of BANDS x ROWS minima are cut into bands; documents that share a band are candidates.  In a bucket each member
    is compared with the smallest only, so a bucket of n makes n - 1 pairs.  Where its members then still lie in different
-   components, each member of a smaller one asks all documents of the larger one: small ones pair by pair, large ones in blocks.
+   components, each member of a smaller one asks all documents of the larger one: small ones pair by pair, large ones and crowded
+   buckets in blocks.
 3. Candidates are compared by batches of minima.  Given m equal ones of n, the posterior of the similarity under a uniform prior
    is Beta(m + 1, n - m + 1); a pair goes when P(similarity >= threshold) falls below MISS.
 4. What is left is verified on the full shingle sets, made from the texts.  Links join components by small-star and
@@ -186,31 +187,32 @@ def _labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataF
 
 
 def _ask_blocks(asks: DataFrame, whole: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between askers x and members of large components, one for each asker and block at most.
+    """Links (a, b) between askers (x, own, part, size) and members (part, y, own) of large groups.
 
-    Askers and members of a component are cut into blocks of about BLOCK each; a task compares one block with another in arrays, so
+    ``own`` is the component a document is in already: of each block an asker gets one link for each other component at most.
+    Askers and members of a group are cut into blocks of about BLOCK each; a task compares one block with another in arrays, so
     a large group makes neither a row for each pair nor a task that grows with it.
     """
     by = asks.groupBy("part", "size").agg(F.count("*").alias("n")).select("part", F.ceil(F.col("size") / BLOCK).cast("int").alias("ny"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nx"))
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = asks.join(by, "part").select(F.col("x").alias("doc_id"), "part", cell("x", "nx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"))
-    right = whole.join(by, "part").select(F.col("y").alias("doc_id"), "part", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), cell("y", "ny").alias("yb"))
-    left, right = (t.join(texts, "doc_id").select("part", "xb", "yb", "doc_id", "text").toDF(*[f"{side}_{c}" for c in ("part", "xb", "yb", "id", "text")]) for side, t in (("x", left), ("y", right)))
+    left = asks.join(by, "part").select(F.col("x").alias("doc_id"), "own", "part", cell("x", "nx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"))
+    right = whole.join(by, "part").select(F.col("y").alias("doc_id"), "own", "part", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), cell("y", "ny").alias("yb"))
+    left, right = (t.join(texts, "doc_id").select("part", "xb", "yb", "doc_id", "own", "text").toDF(*[f"{side}_{c}" for c in ("part", "xb", "yb", "id", "own", "text")]) for side, t in (("x", left), ("y", right)))
 
     def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
         found: tuple[list, list] = ([], [])
         if xs.num_rows and ys.num_rows:
             (xh, xo), (yh, yo) = (shingles(*C.split_words(pc.ascii_lower(pc.fill_null(pa.concat_arrays(t.chunks), ""))), k) for t in (xs["x_text"], ys["y_text"]))
-            y_size, y_id = np.diff(yo), ys["y_id"].to_pylist()
-            for i, x in enumerate(xs["x_id"].to_pylist()):
+            y_size, y_id, y_own = np.diff(yo), ys["y_id"].to_pylist(), ys["y_own"].to_numpy()
+            for i, (x, own) in enumerate(zip(xs["x_id"].to_pylist(), xs["x_own"].to_pylist(), strict=True)):
                 mine = np.sort(xh[xo[i] : xo[i + 1]])
                 if not len(mine):
                     continue
                 at = np.minimum(np.searchsorted(mine, yh), len(mine) - 1)
                 both = C.segment_sum(mine[at] == yh, yo)
-                hit = np.flatnonzero((both > 0) & (100 * both >= percent * (len(mine) + y_size - both)))
-                if len(hit):
-                    found[0].append(max(x, y_id[hit[0]])), found[1].append(min(x, y_id[hit[0]]))
+                hit = np.flatnonzero((both > 0) & (100 * both >= percent * (len(mine) + y_size - both)) & (y_own != own))
+                for j in hit[np.unique(y_own[hit], return_index=True)[1]].tolist():
+                    found[0].append(max(x, y_id[j])), found[1].append(min(x, y_id[j]))
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
     left, right = (t.groupBy(*[f"{side}_{c}" for c in ("part", "xb", "yb")]) for side, t in (("x", left), ("y", right)))
@@ -263,19 +265,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = labels.groupBy(F.col("label").alias("part")).agg((F.count("*") + 1).alias("size"))
     parts = C.stage(parts.join(apart, ["band", "h"]).join(sizes, "part", "left").withColumn("size", F.coalesce("size", F.lit(1))), "parts")
     heads = parts.groupBy("band", "h", "part", "size").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    crowded = heads.groupBy("band", "h").agg(F.count("*").alias("c")).where(F.col("c") > SMALL).select("band", "h", F.lit(True).alias("crowded"))
+    heads = heads.join(crowded, ["band", "h"], "left").where(F.col("crowded").isNull() | (F.col("size") > SMALL))
     # No two sets reach the threshold whose sizes are further apart than it.
     asks = parts.alias("p").join(heads.alias("q"), ["band", "h"]).where((F.struct("p.size", "p.part") < F.struct("q.size", "q.part")) & (100 * F.col("p.n") >= percent * F.col("q.n_lo")) & (100 * F.col("q.n_hi") >= percent * F.col("p.n")))
-    asks = C.stage(asks.groupBy(F.col("p.id").alias("x"), F.col("q.part").alias("part"), F.col("q.size").alias("size")).agg(F.lit(1).alias("one")).drop("one"), "asks")
+    asks = C.stage(asks.groupBy(F.col("p.id").alias("x"), F.col("p.part").alias("own"), F.col("q.part").alias("part"), F.col("q.size").alias("size")).agg(F.lit(1).alias("one")).drop("one"), "asks")
     whole = labels.select(F.col("label").alias("part"), F.col("node").alias("y")).union(labels.select("label", "label").distinct())
     few = asks.where(F.col("size") <= SMALL)
     pairs = few.where("size = 1").select("x", F.col("part").alias("y")).union(few.where("size > 1").join(whole, "part").select("x", "y"))
-    links, labels = extended(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), links, labels)
+    # In a bucket with many components the small ones are compared in blocks too, as one group.
+    crowd = parts.where(F.col("size") <= SMALL).join(crowded, ["band", "h"]).select(F.col("id").alias("x"), F.col("part").alias("own"), F.xxhash64("band", "h").alias("part"))
+    crowd = C.stage(crowd.join(crowd.groupBy("part").agg(F.count("*").alias("size")), "part").select("x", "own", "part", "size"), "crowd")
     many = asks.where(F.col("size") > SMALL)
-    if not many.isEmpty():
-        more = C.stage(_ask_blocks(many, whole, texts, k, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+    links = links.union(confirmed(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()))
+    for asked, group in ((many, whole.select(F.col("part"), "y", F.col("part").alias("own"))), (crowd, crowd.select("part", F.col("x").alias("y"), "own"))):
+        if not asked.isEmpty():
+            links = links.union(C.stage(_ask_blocks(asked, group, texts, k, percent), "links"))
+    labels = components(links)
 
     labelled = _labelled(classes.withColumnRenamed("rep", "id"), labels, "id", "component_id").select("f1", "f2", "n_shingles", "component_id")
     out = rows.select("doc_id", "n_shingles", "f1", "f2").join(labelled, ["f1", "f2", "n_shingles"], "left")
