@@ -102,5 +102,5 @@ def from_arrow(spark: SparkSession, table: pa.Table, extension_prefix: str) -> D
                 raise ValueError(f"Expected dimensions xy, xyz, xym or xyzm but found '{spelt}'")
             t = G.GeometryType.make(geometry, dims, G.INTERLEAVED if fixed else G.SEPARATE)
         t = G.GeometryType(t.id, G.Metadata.parse(meta.get("ARROW:extension:metadata")))
-        df = df.withColumn(f.name, F.col(f.name).cast(t.spark_type()).alias(f.name, metadata=t.field_metadata()))
+        df = df.withColumn(f.name, F.col(f.name).alias(f.name, metadata=t.field_metadata()))
     return df
