@@ -126,10 +126,23 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(C.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
-
-
-_WS = r"[^\x20\x09-\x0D]+"
-
-#: The prior's arithmetic repeats host_verdicts(); host_rate is rounded nowhere, so it is left to the operator's tests.
-ORACLE_SQL = {}
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE_SQL = f"""
+with t as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(len(w))) as i, unnest(w) as w0 from t),
+g as (select doc_id, i, w0, lead(w0) over o as w1, lead(w0, 2) over o as w2 from p window o as (partition by doc_id order by i)),
+r as (select doc_id, i from g where w2 is not null qualify count(*) over (partition by doc_id, w0, w1, w2) > 1),
+c as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as k from r) group by doc_id),
+l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from t),
+f as (select doc_id, source, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from t join l using (doc_id) left join c using (doc_id)),
+b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from f),
+h as (select source, count(*) as n, count(*) filter (where base_failed) as bad from b where source is not null group by source),
+m as (select sum(bad) / sum(n) as mean, sum(n) as n, count(*) as h, sum(n * (bad / n) ** 2) as npp from h),
+s as (select mean, n, h, greatest(0, npp / n - mean * mean) - mean * (1 - mean) * h / n as spread, 1 - h / n as rest from m),
+k as (select mean, case when spread > 1e-12 and rest > 0 then greatest({LEAST_WEIGHT}, mean * (1 - mean) * rest / spread - 1) when h > 1 then greatest({LEAST_WEIGHT}, n / h) else {LEAST_WEIGHT} end as weight from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce((bad + mean * weight) / (h.n + weight) >= {HOST_RATE}, false) as kept
+from b left join h using (source) left join k on true
+"""

@@ -9,6 +9,7 @@ from .line_crf import op4_line_crf
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op7_line_dedup
 from .near_dedup import op5_near_dedup
+from .quality_rules import ORACLE_SQL as QUALITY_RULES_SQL
 from .quality_rules import op2_quality_rules
 from .secrets import ORACLE_SQL as SECRETS_SQL
 from .secrets import op6_secret_scan
@@ -29,4 +30,4 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES = {"op6_secret_scan": SECRETS_SQL, "op7_line_dedup": LINE_DEDUP_SQL, "op8_url_filters": URL_FILTERS_SQL}
+ORACLES = {"op2_quality_rules": QUALITY_RULES_SQL, "op6_secret_scan": SECRETS_SQL, "op7_line_dedup": LINE_DEDUP_SQL, "op8_url_filters": URL_FILTERS_SQL}
