@@ -164,7 +164,8 @@ def test_every_query_matches_sql(spark):
     con = duckdb.connect()
     for p in glob.glob(f"{d}/*.parquet"):
         con.sql(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
-    norm = lambda rows: sorted(tuple("nan" if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
+    plain = lambda v: "nan" if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    norm = lambda rows: sorted(tuple(map(plain, r)) for r in rows)
     for name, fn in Q.QUERIES.items():
         out = con.sql(Q.ORACLES[name])
         df = fn(spark, d)
