@@ -82,10 +82,9 @@ class Bpe:
         self.pattern, self.ranks, self.table = regex.compile(pattern), ranks, PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.tokens = {i: t for t, i in ranks.items()}
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.spaced: list[dict] = [{}, {}]
+        self.firsts: list[dict] = [{}, {}]
         self.half = remembered // 2
-        self.words: dict[str, tuple] = {}
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece."""
@@ -146,27 +145,25 @@ class Bpe:
                 rank[out_of, at[out_of]] = _NONE
         return done
 
-    def _known(self, units: set[str]) -> dict[str, tuple]:
-        """For runs of text that the pattern cuts alike wherever they stand: (ids as decimals, number of ids, their bytes)."""
-        young, old, out, todo = self.young, self.old, {}, []
-        for u in units:
-            x = young.get(u) or old.get(u)
-            if x is None:
-                todo.append(u)
-            else:
-                out[u] = x
-        pieces = [self.pattern.findall(u) for u in todo]
+    def _known(self, units: set[str], cache: list[dict], lead: str) -> dict[str, tuple]:
+        """For runs of text that the pattern cuts alike wherever they stand: (ids as decimals, number of ids, their bytes).
+
+        ``lead`` is what stands before each of ``units``; ``cache`` is the younger and the older generation of those known.
+        """
+        young, old = cache
+        out = {u: young.get(u) or old.get(u) for u in units}
+        todo = [u for u, x in out.items() if x is None]
+        pieces = list(map(self.pattern.findall, [lead + u for u in todo]))
         each = {p: None for ps in pieces for p in ps}
         for p, ids in zip(each, self.merge([p.encode("utf-8") for p in each]), strict=True):
             each[p] = ids
         for u, ps in zip(todo, pieces, strict=True):
-            ids = [i for p in ps for i in each[p]]
+            ids = each[ps[0]] if len(ps) == 1 else [i for p in ps for i in each[p]]
             out[u] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-        for u, x in out.items():
-            if len(young) >= self.half:
-                self.old, self.young = young, {}
-                young = self.young
-            young[u] = x
+        if len(young) + len(out) > self.half:  # what this slice used is the younger generation
+            cache[:] = [dict(out), young]
+        else:
+            young.update(out)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -178,16 +175,23 @@ class Bpe:
         One space between two characters that are no white space always begins a match, so texts are cut there.
         """
         units = [self.units(t) for t in texts]
-        known = self._known({u for us in units for u in us})
-        return [[known[u] for u in us] for us in units]
-
-    def units(self, text: str) -> list[str]:
+        spaced: set[str] = set()
+        for _, rest in units:
+            spaced.update(rest)
+        known = self._known(spaced, self.spaced, " ").__getitem__
+        firsts = self._known({u for first, _ in units for u in first}, self.firsts, "").__getitem__
+        return [[*map(firsts, first), *map(known, rest)] for first, rest in units]
+
+    def units(self, text: str) -> tuple[list[str], list[str]]:
+        """Runs that stand as they are, then runs that follow them after one space each."""
         if not text:
-            return []
-        parts = text.split(" ")
-        if all(p and not (p[0].isspace() or p[-1].isspace()) for p in parts):
-            return [parts[0], *[" " + p for p in parts[1:]]]
+            return [], []
+        # Printable but for line ends: then no other white space is there, and spaces need a look only beside each other and line ends.
+        if "  " not in text and " \n" not in text and "\n " not in text and text[0] != " " and text[-1] != " " and text.replace("\n", "").isprintable():
+            first, *rest = text.split(" ")
+            return [first], rest
         # Join again where white space meets white space: there the cut would not be a boundary for certain.
+        parts = text.split(" ")
         out = [parts[0]]
         for p in parts[1:]:
             before = out[-1][-1:]
@@ -195,7 +199,7 @@ class Bpe:
                 out.append(" " + p)
             else:
                 out[-1] += " " + p
-        return [u for u in out if u]
+        return [u for u in out if u], []
 
     def ids(self, text: str) -> list[int]:
         return [int(i) for x in self.encode([text])[0] for i in x[0].split()]
@@ -208,13 +212,14 @@ def _digests(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(read_ranks(path), pattern)
         for whole in batches:
-            for b in C.slices(whole):
+            for b in C.slices(whole, limit=2 * C.SLICE_BYTES):
                 n, a, d, ids = [], [], [], []
                 for runs in bpe.encode(C.texts_of(b).to_pylist()):
-                    text = " ".join([x[0] for x in runs])
-                    n.append(sum([x[1] for x in runs]))
+                    said, count, raw = zip(*runs, strict=True) if runs else ((), (), ())
+                    text = " ".join(said)
+                    n.append(sum(count))
                     a.append(hashlib.sha256(text.encode()).hexdigest())
-                    d.append(hashlib.sha256(b"".join([x[2] for x in runs])).hexdigest())
+                    d.append(hashlib.sha256(b"".join(raw)).hexdigest())
                     if with_ids:
                         ids.append(np.array(text.split(), np.int32))
                 cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
