@@ -68,6 +68,23 @@ def plain(df: DataFrame, *needed: str) -> DataFrame:
     return df.select(*[F.col(c) for c in needed])
 
 
+#: Keys that are joined by broadcast, at most: each holds this share of all rows or more.
+HOT_KEYS = 4096
+
+
+def join_shared(rows: DataFrame, shared: DataFrame, keys: list[str], members: str, n_rows: int) -> DataFrame:
+    """``rows`` with what ``shared`` (fixed-width columns, one row for each key) says of their keys; rows of other keys go.
+
+    ``members`` is a column of ``shared``: as many of the ``n_rows`` rows as have the key, or fewer.  Keys with a share of
+    1 / HOT_KEYS or more, which cannot be more than HOT_KEYS, are broadcast: their rows stay where they are, so a key with a third of all
+    rows fills no task.  The rows of all other keys are shuffled.
+    """
+    least = max(2, -(-n_rows // HOT_KEYS))
+    hot = shared.where(F.col(members) >= least)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(shared.where(F.col(members) < least), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each; one longer text makes a part of its own."""
     n = batch.num_rows

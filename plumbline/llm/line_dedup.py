@@ -46,8 +46,8 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS)
     run = rows.select("h1", "h2", "doc_id").repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
     # Within the range partitions each (line, document) comes once; sums of lines go on from there.
     once = run.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    shared = once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    out = rows.join(shared, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
+    shared = C.stage(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs), "shared")
+    out = C.join_shared(rows, shared, ["h1", "h2"], "n_docs", rows.count()).where(F.col("doc_id") != F.col("keeper"))
     out = out.groupBy("doc_id", "text_key", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return out.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
 
