@@ -176,7 +176,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         edges = C.stage(small.distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum("v")).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.col("v") % 1000003)).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         state = now
@@ -230,8 +230,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own = C.stage(own, "own")
     buckets = own.select("id", "n", F.posexplode("bands").alias("band", "h"))
     # Buckets of one document, nearly all, end here.
-    shared = buckets.groupBy("band", "h").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    members = C.stage(buckets.join(shared, ["band", "h"]).select("band", "h", "id", "n", "centre"), "members")
+    shared = C.stage(buckets.groupBy("band", "h").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1"), "shared")
+    members = C.stage(C.join_shared(buckets, shared, ["band", "h"], "members", BANDS * own.count()).select("band", "h", "id", "n", "centre"), "members")
     texts = docs.where(F.col("doc_id").isNotNull())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
