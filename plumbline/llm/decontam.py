@@ -13,6 +13,7 @@ A hit counts when enough two-word shingles of both the question (all but the las
 in the passage.  Passages are twice as long as the longest item and half overlap, so none is cut in two.
 
 An index holds at most INDEX_ITEMS items, and only such parts are sent to executors; a larger benchmark is used part by part.
+Statistics (items, document frequencies, mean length, longest item) are of the whole benchmark, so hits and scores do not depend on the parts.
 
 Defined cases: null or empty texts and items match nothing; items of equal text are found each; repeated documents are judged
 each; an empty benchmark matches nothing; other columns are kept by decontaminate() and ignored by hits().
@@ -23,7 +24,9 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -61,27 +64,36 @@ def pairs_of(words: list[str]) -> set:
     return set(zip(words, words[1:], strict=False)) if len(words) > 1 else {(w,) for w in words}
 
 
+class Statistics(NamedTuple):
+    """Of all items with a word: how many, their words, the words of the longest, and for each word the items that hold it."""
+
+    items: int
+    words: int
+    longest: int
+    holders: dict[str, int]
+
+
+def statistics_of(lists: list[list[str]]) -> Statistics:
+    return Statistics(len(lists), sum(map(len, lists)), max(map(len, lists), default=0), Counter(x for w in lists for x in set(w)))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    """Of ``items``, with the statistics of the benchmark they are a part of; without them, ``items`` are the whole of it."""
+
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
         items = [(i, t) for i, t in items if words_of(t)]
         self.ids = [i for i, _ in items]
         lists = [words_of(t) for _, t in items]
-        self.passage = max(LEAST_PASSAGE, 2 * max(map(len, lists), default=0))
+        whole = whole or statistics_of(lists)
+        self.passage = max(LEAST_PASSAGE, 2 * whole.longest)
         self.parts = [tuple(map(pairs_of, parts_of(t))) for _, t in items]
-        names: dict[str, int] = {}
-        tf: list[dict[int, int]] = []
-        for w in lists:
-            count: dict[int, int] = {}
-            for x in w:
-                c = names.setdefault(x, len(names))
-                count[c] = count.get(c, 0) + 1
-            tf.append(count)
+        # In the order of the words, so that in any part an item's weights are summed in the same order.
+        names = {x: c for c, x in enumerate(sorted({x for w in lists for x in w}))}
+        tf = [dict(sorted(Counter(names[x] for x in w).items())) for w in lists]
         self.names = pa.array(list(names), pa.string())
-        df = np.zeros(len(names))
-        for count in tf:
-            df[list(count)] += 1
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        mean = sum(map(len, lists)) / max(1, len(lists))
+        df = np.array([whole.holders[x] for x in names], float)
+        idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
+        mean = whole.words / max(1, whole.items)
         term, item, impact, essential = [], [], [], []
         self.need = np.zeros(len(items))
         for i, count in enumerate(tf):
@@ -171,12 +183,28 @@ def _grouped(a: np.ndarray, b: np.ndarray):
         at = e
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each item how many words it has, and its distinct words."""
+    for b in batches:
+        lists = [words_of(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in lists], pa.int64()), pa.array([sorted(set(w)) for w in lists], pa.list_(pa.string()))], names=["n", "words"])
+
+
+def statistics(rows: DataFrame) -> Statistics:
+    """Of all ``rows`` (text, not null).  The driver gets one row for each distinct word; the indexes it holds have them too."""
+    words = rows.select("text").mapInArrow(_words, "n long, words array<string>").where(F.col("n") > 0)
+    n, total, longest = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    holders = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("holders")).toArrow()
+    return Statistics(n, total, longest, dict(zip(*(holders.column(c).to_pylist() for c in ("word", "holders")), strict=True)))
+
+
 def indexes(benchmark: DataFrame) -> list[Index]:
     """Indexes of at most about INDEX_ITEMS items and INDEX_CHARS characters each; sizes are asked before any item is fetched."""
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, math.ceil(2 * n / INDEX_ITEMS), math.ceil(2 * chars / INDEX_CHARS)) if n > INDEX_ITEMS or chars > INDEX_CHARS else 1
-    return [Index([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()]) for i in range(parts)]
+    whole = statistics(rows)
+    return [Index([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()], whole) for i in range(parts)]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

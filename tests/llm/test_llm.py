@@ -261,6 +261,24 @@ def test_bm25_scores_against_brute_force():
     assert len(want) >= 60 and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_decontamination_in_parts_finds_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vocab = np.array([f"v{i}" for i in range(200)])
+    item = lambda: " ".join(vocab[np.minimum(199, rng.zipf(1.3, int(rng.integers(8, 60)) if rng.random() < 0.97 else 150) - 1)])
+    items = [(i, item()) for i in range(80)] + [(100, None), (101, "...")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for i, t in items[:80]:
+        w = t.split()
+        rows += [(3 * i + k, " ".join([*rng.choice(vocab, 300), *w[: int(len(w) * share)], *rng.choice(vocab, 200)])) for k, share in enumerate((1, 0.8, 0.65))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cols = ("doc_id", "item_id", "n_passages", "score", "question_overlap", "answer_overlap")
+    whole, kept = _rows(decontam.hits(df, bench), *cols), _rows(decontam.decontaminate(df, bench), "doc_id")
+    monkeypatch.setattr(decontam, "INDEX_ITEMS", 40)
+    assert len(decontam.indexes(bench)) > 2 and len(whole) >= 80
+    assert _rows(decontam.hits(df, bench), *cols) == whole and _rows(decontam.decontaminate(df, bench), "doc_id") == kept
+
+
 def test_line_crf(spark, empty):
     rng = np.random.default_rng(6)
     good = lambda: "\n".join(" ".join(rng.choice(["calm", "river", "of", "the", "stones", "and", "light"], 12)).capitalize() + "." for _ in range(int(rng.integers(1, 8))))
