@@ -25,10 +25,10 @@ def host_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains of two labels or more."""
+    """The host and its parent domains, the top-level domain too."""
     labels = F.split(host, "[.]", -1)
     n = F.size(labels)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), ".")))
+    return F.when(F.length(host) > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), ".")))
 
 
 def intervals(events: DataFrame) -> DataFrame:

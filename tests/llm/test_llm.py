@@ -352,6 +352,19 @@ def test_url_filters(spark):
     assert url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, fetched date"), ev.where("false")).where("blocked").count() == 0
 
 
+def test_url_filters_of_one_label(spark):
+    import datetime as dt
+
+    day = dt.date(2024, 1, 1)
+    ev = spark.createDataFrame([("localhost", "spam", "add", day), ("museum", "adult", "add", day), ("old.museum", "spam", "add", day)], "pattern string, category string, action string, day date")
+    hosts = ["localhost", "LOCALHOST:80", "x.localhost", "notlocalhost", "museum", "a.museum", "b.old.museum", "museum.org", "localhost."]
+    got = url_filters.judge(spark.createDataFrame([(i, f"http://{h}/a", day) for i, h in enumerate(hosts)], "page_id long, url string, fetched date"), ev)
+    assert _rows(got, "page_id", "n_active", "categories", "latest") == [
+        (0, 1, "spam", "localhost"), (1, 1, "spam", "localhost"), (2, 1, "spam", "localhost"), (3, 0, "", None), (4, 1, "adult", "museum"),
+        (5, 1, "adult", "museum"), (6, 2, "adult,spam", "old.museum"), (7, 0, "", None), (8, 1, "spam", "localhost"),
+    ]
+
+
 def test_katz(docs, empty):
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", _fold(t)), "</s>"] for i, t in DOCS}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
