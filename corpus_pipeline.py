@@ -6,22 +6,32 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, common, decontam, line_dedup, near_dedup, quality_rules
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id has a kept verdict; rows with a null doc_id stay."""
-    gone = verdicts.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    # The ids to drop are the small side: one partition of them at a time is hashed, texts are not sorted.
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+def _keep(docs: DataFrame, verdicts: DataFrame, **by: Column) -> DataFrame:
+    """``docs`` without the rows that have a verdict that is not kept.
+
+    A verdict is of the rows with its doc_id and its values in the columns ``by``, which are given as expressions over ``docs``: rows
+    that repeat a doc_id, or have none, stay or go by their own verdict.
+    """
+    keys = {"doc_id": F.col("doc_id"), **by}
+    gone = verdicts.where(~F.col("kept")).select(*[F.col(c).alias(f"_gone_{c}") for c in keys]).distinct()
+    same = reduce(and_, (e.eqNullSafe(F.col(f"_gone_{c}")) for c, e in keys.items()))
+    # The keys to drop are the small side: one partition of them at a time is hashed, texts are not sorted.
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose host fails, go."""
-    return _keep(docs, quality_rules.judge(docs))
+    key = near_dedup.text_key(F.col("text"))
+    return _keep(docs, quality_rules.judge(docs.withColumn("_key", key), key="_key"), key=key, host=F.col("source").cast("string"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +47,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    return _keep(docs, near_dedup.near_duplicates(docs, k=5, percent=80)).select(*docs.columns)
+    return _keep(docs, near_dedup.judge(docs, k=5, percent=80), text_key=near_dedup.text_key(F.col("text"))).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicate groups by MinHash bands with sequential Bayesian verification.
 
-1. Documents with equal shingle sets (128-bit sums) form one class; only its smallest doc_id goes on.
+1. Documents with equal shingle sets (128-bit sums) form one class, which has an id of its own; only the row with its smallest doc_id
+   goes on.  Links and components are of classes; a component's id is the smallest doc_id of its classes.
 2. Signatures of BANDS x ROWS minima are cut into bands; documents that share a band are candidates.  In a bucket each member
    is compared with the smallest only, so a bucket of n makes n - 1 pairs.  Where its members then still lie in different
    components, each member of a smaller one asks all documents of the larger one: small ones pair by pair, large ones and crowded
@@ -26,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -105,7 +106,7 @@ def _sketch(k: int):
                 take = lambda a: pa.array(a).take(pa.array(row, mask=~some))
                 sig_col = pa.FixedSizeBinaryArray.from_buffers(pa.binary(sig.shape[1] * 4), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
                 band_col = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * BANDS, pa.int32()), pa.array(bands.astype(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), take(sums[0]), take(sums[1]), sig_col.take(pa.array(row, mask=~some)), band_col.take(pa.array(row, mask=~some))], names=["doc_id", "n_shingles", "f1", "f2", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n), take(sums[0]), take(sums[1]), sig_col.take(pa.array(row, mask=~some)), band_col.take(pa.array(row, mask=~some))], names=["doc_id", "text_key", "n_shingles", "f1", "f2", "sig", "bands"])
 
     return run
 
@@ -186,18 +187,20 @@ def _labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataF
     return df.join(labels.select(F.col("node").alias(column), F.col("label").alias("_label")), column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
 
-def _ask_blocks(asks: DataFrame, whole: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _ask_blocks(asks: DataFrame, whole: DataFrame, names: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between askers (x, own, part, size) and members (part, y, own) of large groups.
 
+    ``names`` (id, doc_id, text_key) says which of the ``texts`` (doc_id, text_key, text) each has.
+
     ``own`` is the component a document is in already: of each block an asker gets one link for each other component at most.
     Askers and members of a group are cut into blocks of about BLOCK each; a task compares one block with another in arrays, so
     a large group makes neither a row for each pair nor a task that grows with it.
     """
     by = asks.groupBy("part", "size").agg(F.count("*").alias("n")).select("part", F.ceil(F.col("size") / BLOCK).cast("int").alias("ny"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nx"))
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = asks.join(by, "part").select(F.col("x").alias("doc_id"), "own", "part", cell("x", "nx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"))
-    right = whole.join(by, "part").select(F.col("y").alias("doc_id"), "own", "part", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), cell("y", "ny").alias("yb"))
-    left, right = (t.join(texts, "doc_id").select("part", "xb", "yb", "doc_id", "own", "text").toDF(*[f"{side}_{c}" for c in ("part", "xb", "yb", "id", "own", "text")]) for side, t in (("x", left), ("y", right)))
+    left = asks.join(by, "part").select(F.col("x").alias("id"), "own", "part", cell("x", "nx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"))
+    right = whole.join(by, "part").select(F.col("y").alias("id"), "own", "part", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), cell("y", "ny").alias("yb"))
+    left, right = (t.join(names, "id").join(texts, ["doc_id", "text_key"]).select("part", "xb", "yb", "id", "own", "text").toDF(*[f"{side}_{c}" for c in ("part", "xb", "yb", "id", "own", "text")]) for side, t in (("x", left), ("y", right)))
 
     def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
         found: tuple[list, list] = ([], [])
@@ -219,15 +222,26 @@ def _ask_blocks(asks: DataFrame, whole: DataFrame, texts: DataFrame, k: int, per
     return left.cogroup(right).applyInArrow(compare, "a long, b long")
 
 
+def text_key(text: Column) -> Column:
+    """What tells the rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    docs = C.plain(docs, "doc_id", "text")
-    rows = C.stage(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"), "sketch")
+    return judge(docs, k, percent).drop("text_key")
+
+
+def judge(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The same with the text_key of each row."""
+    docs = C.plain(docs, "doc_id", "text").withColumn("text_key", text_key(F.col("text")))
+    rows = C.stage(docs.mapInArrow(_sketch(k), "doc_id long, text_key long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"), "sketch")
     sets = rows.where("doc_id is not null and f1 is not null")
-    classes = C.stage(sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = C.stage(sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "classes")
     # Of rows that repeat the smallest doc_id of a class, one goes on.
-    own = sets.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").dropDuplicates(["f1", "f2", "n_shingles"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands")
+    own = sets.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").dropDuplicates(["f1", "f2", "n_shingles"]).select("id", "doc_id", "text_key", F.col("n_shingles").alias("n"), "sig", "bands")
     own = C.stage(own, "own")
+    names = own.select("id", "doc_id", "text_key")
     buckets = own.select("id", "n", F.posexplode("bands").alias("band", "h"))
     # Buckets of one document, nearly all, end here.
     shared = C.stage(buckets.groupBy("band", "h").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1"), "shared")
@@ -238,8 +252,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         sig = own.select("id", "sig")
         near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent / 100), "a long, b long")
         near = C.stage(near, "near")
-        ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        some = C.stage(texts.join(ids, "doc_id", "left_semi"), "texts")
+        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        some = C.stage(texts.join(ids.join(names, "id"), ["doc_id", "text_key"]).select("id", "text"), "texts")
         full = near.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
         return C.stage(full.mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
@@ -280,13 +294,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = links.union(confirmed(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()))
     for asked, group in ((many, whole.select(F.col("part"), "y", F.col("part").alias("own"))), (crowd, crowd.select("part", F.col("x").alias("y"), "own"))):
         if not asked.isEmpty():
-            links = links.union(C.stage(_ask_blocks(asked, group, texts, k, percent), "links"))
+            links = links.union(C.stage(_ask_blocks(asked, group, names, texts, k, percent), "links"))
     labels = components(links)
 
-    labelled = _labelled(classes.withColumnRenamed("rep", "id"), labels, "id", "component_id").select("f1", "f2", "n_shingles", "component_id")
-    out = rows.select("doc_id", "n_shingles", "f1", "f2").join(labelled, ["f1", "f2", "n_shingles"], "left")
+    group = labels.union(labels.select("label", "label").distinct()).join(classes.select(F.col("id").alias("node"), "rep"), "node")
+    group = C.stage(group.select("label", "node", "rep"), "group")
+    least = C.stage(group.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "least")
+    least = C.join_shared(group, least, ["label"], "size", group.count()).select(F.col("node").alias("id"), "component_id")
+    labelled = classes.join(least, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.select("doc_id", "text_key", "n_shingles", "f1", "f2").join(labelled, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

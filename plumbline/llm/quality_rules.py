@@ -81,13 +81,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.zeros(len(keys), bool)
             first[np.unique(keys, return_index=True)[1]] = True
             cols = [np.diff(offs), C.segment_sum(_CHARS[buf], at), C.segment_sum(_SYMBOL[buf], at), C.segment_sum(worded & ~first, loffs), repeated_words(codes, offs, len(names))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), *[pa.array(c.astype(np.int64)) for c in cols]], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            given = {"doc_id": b.column("doc_id"), "host": b.column("source")} | ({"key": b.column("key")} if "key" in b.schema.names else {})
+            yield pa.RecordBatch.from_arrays([*given.values(), *[pa.array(c.astype(np.int64)) for c in cols]], names=[*given, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
-def features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The base figures of each row of ``docs`` (doc_id, text, and the column that names the host)."""
-    rows = docs.select("doc_id", "text", F.col(host).cast("string").alias("source"))
-    out = rows.mapInArrow(_features, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+def features(docs: DataFrame, host: str = "source", key: str | None = None) -> DataFrame:
+    """The base figures of each row of ``docs`` (doc_id, text, and the column that names the host), and its ``key`` (a long), if any."""
+    rows = docs.select("doc_id", "text", F.col(host).cast("string").alias("source"), *([F.col(key).alias("key")] if key else []))
+    out = rows.mapInArrow(_features, "doc_id long, host string" + (", key long" if key else "") + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -114,9 +115,9 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     return hosts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") >= HOST_RATE)
 
 
-def judge(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Base figures, base_failed, host_rate, host_failed and kept for each row of ``docs``."""
-    rows = C.stage(features(docs, host), "rules")
+def judge(docs: DataFrame, host: str = "source", key: str | None = None) -> DataFrame:
+    """Base figures, base_failed, host_rate, host_failed and kept for each row of ``docs``, and its ``key``, if any, as key."""
+    rows = C.stage(features(docs, host, key), "rules")
     verdicts = host_verdicts(rows).select(F.col("host"), F.col("rate").alias("host_rate"), "host_failed")
     # Few hosts are broadcast by Spark itself, by their measured size; else a hot host's partition is split (skew join).
     out = rows.join(verdicts, "host", "left")

@@ -220,6 +220,24 @@ def test_near_dedup_of_a_large_group_with_outliers(spark, monkeypatch):
     assert 1 < len({root(i) for i in sets}) < 90
 
 
+def test_one_doc_id_with_two_texts(spark):
+    import corpus_pipeline as cp
+
+    a, b = [f"a{i}" for i in range(80)], [f"b{i}" for i in range(90)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(3, " ".join(a)), (7, near(a)), (7, " ".join(b)), (8, near(b)), (9, "c " * 9), (None, " ".join(a))]
+    docs = spark.createDataFrame([(i, t, "host") for i, t in rows], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 5).collect()}
+    assert got == {(3, 76): (3, True), (7, 76): (3, False), (7, 86): (7, True), (8, 86): (7, False), (9, 1): (9, True), (None, 76): (None, True)}
+    said = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert said(cp.near_duplicates(spark, docs, "")) == sorted((r for r in rows if r != rows[1] and r != rows[3]), key=str)
+    # Quality: a row goes by its own text and host, with and without a doc_id.
+    good, bad = " ".join(a), "bad"
+    rows = [(1, good, "fine"), (1, bad, "fine"), (None, bad, "fine"), (None, good, "fine"), (2, good, None), (3, good, "spam"), (3, good, "fine"), *((100 + i, bad, "spam") for i in range(300)), *((500 + i, good, "fine") for i in range(300))]
+    out = cp.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str(r) for r in rows if r[1] == good and r[2] != "spam")
+
+
 def test_bayesian_bounds():
     least = near_dedup.least_matches(0.8)
     assert list(least) == sorted(least) and all(m < 0.8 * n for m, n in zip(least, range(32, 161, 32), strict=True))
