@@ -1,7 +1,7 @@
 """Line dedup: lines that many documents share stay only in the document with the largest id.
 
-Only hashes of lines move.  They are range-partitioned with a secondary sort by document and position, so a very common line
-is spread over partitions; its documents are counted from partial sums, and what comes back to each document is a compressed
+Only hashes of lines move.  They are range-partitioned by line and document, so a very common line is spread over partitions; they
+are not streamed in order (Catalyst leaves the sort out, as an aggregate follows); its documents are counted from partial sums, and what comes back to each document is a compressed
 bitmap: of each 64 lines with a dropped one, a long whose bits are the lines to drop.
 
 Defined cases: a null or empty text is one empty line; a line of fewer than ``min_chars`` code points (stripped) always stays; a
