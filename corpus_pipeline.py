@@ -79,5 +79,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The near-dedup and token stages are beyond SQL; tests/llm hold run() against a brute-force version.
+#: The near-dedup and token stages are beyond SQL; tests/llm hold run() against its stages run one by one, not against brute force.
 ORACLE_SQL = None
