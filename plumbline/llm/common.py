@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 #: Text of about this many bytes is worked on at once, so a worker's memory depends on it and on the longest document.
 SLICE_BYTES = 2 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+#: Paths and catalog tables of stages, by session; they go with released() or at exit.
+_written: list[tuple[SparkSession, str, str | None]] = []
+_own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,17 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="plumbline-"))
+    return _own_dir[0]
 
 
-def new_path(spark: SparkSession, label: str) -> str:
+def new_path(spark: SparkSession, label: str, table: bool = False) -> str:
+    """A path below the shared folder that is dropped later, with the catalog table of table_name(), if there is one."""
     path = f"{shared_dir(spark).rstrip('/')}/plumbline/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, table_name(path) if table else None))
     return path
 
 
+def table_name(path: str) -> str:
+    return "plumbline_" + path.rpartition("/")[2].replace("-", "_")
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps neither repeat it nor lose it with an executor."""
     path = new_path(df.sparkSession, label)
@@ -50,13 +58,30 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """What operators stage inside the block goes at its end: results must be written or collected before."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _drop_from(before)
+
+
+def _drop_from(first: int) -> None:
+    for spark, path, table in _written[first:]:
+        if table:
+            spark.sql(f"drop table if exists {table}")
+        drop_path(spark, path)
+    del _written[first:]
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may be gone
-            return
+    try:
+        _drop_from(0)
+    except Exception:  # the session may be gone
+        return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +110,29 @@ def join_shared(rows: DataFrame, shared: DataFrame, keys: list[str], members: st
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
+def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], by: str, members: str | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other`` by ``keys``; a key with more rows than a partition's share is spread over as many tasks as it fills.
+
+    ``by`` is a column of ``rows`` that tells the rows of one key apart.  ``members`` is a column of ``other`` (a written table): how many
+    rows each key has; without it they are counted.  It is no column of the result.  Only keys with a share of 1 / partitions or more,
+    which cannot be more than there are partitions, are broadcast; the rows of ``other`` with such a key are repeated for each of its tasks.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if members is None:
+        counts = stage(rows.groupBy(*keys).agg(F.count("*").alias("_members")), "counts")
+        total = counts.agg(F.sum("_members")).first()[0] or 1
+        other = other.join(counts, keys).withColumnRenamed("_members", "_tasks")
+    else:
+        total = other.select(*keys, members).distinct().agg(F.sum(members)).first()[0] or 1
+        other = other.withColumnRenamed(members, "_tasks")
+    other = other.withColumn("_tasks", F.ceil(F.col("_tasks") * F.lit(parts / total)).cast("int"))
+    hot = other.where("_tasks > 1").select(*keys, F.col("_tasks").alias("_n")).distinct()
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_n"), F.lit(0)).cast("int")).drop("_n")
+    other = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).drop("_tasks")
+    return rows.join(other, [*keys, "_salt"], how).drop("_salt")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each; one longer text makes a part of its own."""
     n = batch.num_rows
@@ -156,7 +204,3 @@ def hash_strings(arr: pa.Array) -> np.ndarray:
     import pandas as pd
 
     return pd.util.hash_array(arr.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(arr) else np.empty(0, np.uint64)
-
-
-def strings_of(offs: np.ndarray, lists: list) -> list:
-    return [lists[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]

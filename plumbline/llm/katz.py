@@ -332,10 +332,9 @@ def _scores(parts: int, d: np.ndarray, uni: Unigram, seen: int):
 def _bucketed(df: DataFrame, by: str, parts: int, label: str) -> DataFrame:
     """``df`` in a table bucketed by ``by`` in the shared folder: whatever goes on by that key needs no exchange of it."""
     spark = df.sparkSession
-    path = C.new_path(spark, label)
-    name = "plumbline_" + path.rpartition("/")[2].replace("-", "_")
-    df.write.bucketBy(parts, by).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    path = C.new_path(spark, label, table=True)
+    df.write.bucketBy(parts, by).option("path", path).saveAsTable(C.table_name(path))
+    return spark.table(C.table_name(path))
 
 
 def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
