@@ -2,15 +2,18 @@
 
 A text is cut into matches of a pattern; each match is encoded on its own.  Matches that a worker has not met are put into
 zero-padded numpy matrices of similar length; in each round every row merges its leftmost pair of the least rank, found in a
-hashed table of pairs, and the row is closed up.  A worker remembers a bounded number of pieces and their ids.
+hashed table of pairs, and the row is closed up.  A match beyond the longest matrix takes the same merges in the same order from a heap
+over linked ids, so its time grows with n log n.  A worker remembers a bounded number of pieces and their ids.
 
-Defined cases: a null text is empty; empty texts have no ids; repeated rows are encoded each; other columns are ignored.
+Defined cases: a null text is empty; empty texts have no ids; repeated rows are encoded each, also without a doc_id (which stays null);
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,7 +98,10 @@ class Bpe:
                 out[i] = [whole]
             else:
                 n = len(p)
-                by.setdefault(next((b for b in BUCKETS if n <= b), n.bit_length() + 1000), []).append(i)
+                if n > BUCKETS[-1]:
+                    out[i] = self._merge_long(p)
+                else:
+                    by.setdefault(next(b for b in BUCKETS if n <= b), []).append(i)
         for rows in by.values():
             width = max(len(pieces[i]) for i in rows)
             for at in range(0, len(rows), max(1, (1 << 20) // width)):
@@ -145,6 +151,45 @@ class Bpe:
                 rank[out_of, at[out_of]] = _NONE
         return done
 
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """Ids of one long piece; a heap holds the pairs by rank and place, neighbours are linked."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        n = len(ids)
+        found = self.table.find(ids[:-1], ids[1:])
+        at = np.flatnonzero(found >= 0)
+        heap = list(zip(found[at].tolist(), at.tolist(), strict=True))
+        heapq.heapify(heap)
+        ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [*found.tolist(), -1]  # of the pair that begins at each place; -1: none, or the place is gone
+        pairs = self.pairs
+
+        def anew(i: int) -> None:
+            rank[i] = pairs(ids[i], ids[after[i]]) if after[i] < n else -1
+            if rank[i] >= 0:
+                heapq.heappush(heap, (rank[i], i))
+
+        while heap:
+            r, i = heapq.heappop(heap)
+            if rank[i] != r:
+                continue  # merged, or another pair, since it was pushed
+            gone = after[i]
+            ids[i], after[i] = r, after[gone]
+            rank[gone] = -1
+            if after[i] < n:
+                before[after[i]] = i
+            anew(i)
+            if before[i] >= 0:
+                anew(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
+
+    def pairs(self, left: int, right: int) -> int:
+        """Id of two joined tokens, or -1: a pair's id is the rank of its bytes."""
+        return self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+
     def _known(self, units: set[str], cache: list[dict], lead: str) -> dict[str, tuple]:
         """For runs of text that the pattern cuts alike wherever they stand: (ids as decimals, number of ids, their bytes).
 
