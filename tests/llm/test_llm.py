@@ -123,6 +123,25 @@ def test_byte_bpe(docs, empty):
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode_decode(empty, path, public_tokenizers.PATTERN).count() == 0
+    rows = docs.sparkSession.createDataFrame([(None, "a b"), (None, None), (1, "a b"), (1, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in bpe.encode_decode(rows, path, public_tokenizers.PATTERN).collect()) == [(-1, 0), (-1, 2), (1, 2), (1, 2)]
+
+
+def test_byte_bpe_of_long_matches():
+    import random
+    import time
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    own, rnd = bpe.Bpe(bpe.read_ranks(path), public_tokenizers.PATTERN, 100), random.Random(1)
+    for n in (64, 65, 66, 500, 20000):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "éaß", "x"):
+            t = "".join(rnd.choice(letters) for _ in range(n))
+            assert own.ids(t) == enc.encode_ordinary(t)
+    t, start = "".join(rnd.choice("etaoinshr") for _ in range(200_000)), time.time()
+    assert own.ids(t) == enc.encode_ordinary(t) and time.time() - start < 60
 
 
 def test_quality_rules(docs, empty, spark):
@@ -141,6 +160,16 @@ def test_quality_rules(docs, empty, spark):
     rows = [(i, good if i % 50 == 0 else bad, "spam") for i in range(300)] + [(1000 + i, good, "fine") for i in range(300)] + [(2000, bad, "tiny"), (2001, good, "tiny"), (2002, good, None), (2003, bad, None)]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not got[0].kept and got[0].host_failed and got[1000].kept and got[2001].kept and got[2002].kept and not got[2003].kept
+    assert (got[0].host_docs, got[0].host_failures) == (300, 294) and got[2002].host_rate is None
+    # The rates by hand: moments of the three hosts' rates, then the posterior of each.
+    n, f = np.array([300, 300, 2]), np.array([294, 0, 1])
+    mean = f.sum() / n.sum()
+    spread = (n * (f / n) ** 2).sum() / n.sum() - mean**2 - mean * (1 - mean) * 3 / n.sum()
+    weight = max(2.0, mean * (1 - mean) * (1 - 3 / n.sum()) / spread - 1)
+    for doc, k in ((0, 0), (1000, 1), (2000, 2)):
+        rate = (f[k] + mean * weight) / (n[k] + weight)
+        assert math.isclose(got[doc].host_rate, rate, rel_tol=1e-9)
+        assert got[doc].host_failed == (rate - 1.645 * math.sqrt(rate * (1 - rate) / (n[k] + weight + 1)) >= 0.5)
 
 
 def test_repeated_words_in_halves():
@@ -164,6 +193,20 @@ def test_line_dedup(docs, empty):
     assert _rows(line_dedup.dedup_documents(docs), "doc_id", "n_lines", "n_dropped", "kept_text") == sorted(want)
     assert sum(w[2] for w in want) >= 7
     assert line_dedup.dedup_documents(empty).count() == 0
+    # Columns of the caller with names used inside come back; those of the three results are replaced.
+    clash = docs.selectExpr("doc_id", "text", "1 as gone", "2 as bitmap", "3 as text_key", "4 as row", "5 as first", "6 as n_lines", "7 as of")
+    got = line_dedup.dedup_documents(clash)
+    assert _rows(got, "doc_id", "n_lines", "n_dropped", "kept_text") == sorted(want)
+    assert got.select("gone", "bitmap", "text_key", "row", "first", "of").distinct().collect() == [(1, 2, 3, 4, 5, 7)]
+    plan = line_dedup.keep_bitmaps(docs)
+    assert {r.doc_id for r in plan.collect()} == {w[0] for w in want if w[2]}
+
+
+def test_line_dedup_run_is_sorted(spark, docs, capsys):
+    run = line_dedup.sorted_run(docs.union(docs.where("doc_id between 10 and 16")), 1)
+    rows = [[tuple(r) for r in p] for p in run.repartition(1).sortWithinPartitions("h1", "h2", "doc_id", "pos").select("h1", "h2", "doc_id", "first").rdd.glom().collect()]
+    firsts = collections.Counter((h1, h2, d) for h1, h2, d, first in rows[0] if first)
+    assert set(firsts.values()) == {1} and set(firsts) == {r[:3] for r in rows[0]}
 
 
 def test_line_dedup_bitmaps(spark):
@@ -368,6 +411,31 @@ def test_url_filters(spark):
         want.append((i, len(hit), bool(hit), ",".join(sorted({s[1] for s in hit}))))
     assert _rows(got, "page_id", "n_active", "blocked", "categories") == sorted(want)
     assert url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, fetched date"), ev.where("false")).where("blocked").count() == 0
+    clash = spark.createDataFrame([(*r, "a", 1) for r in rows], "page_id long, url string, fetched date, host string, n_active int")
+    assert _rows(url_filters.judge(clash, ev), "page_id", "n_active", "blocked", "categories") == sorted(want)
+    assert url_filters.judge(clash.where("false"), ev).count() == 0
+
+
+def test_url_filters_case_and_addresses(spark):
+    import datetime as dt
+
+    day = lambda n: dt.date(2024, 1, 1 + n)
+    ev = [("Bad.com", "spam", "add", day(0)), ("bad.com.", "spam", "remove", day(5)), ("[2001:db8::1]", "spam", "add", day(0)), ("10.0.0.1", "adult", "add", day(0)), ("0.1", "spam", "add", day(0)), ("", "spam", "add", day(0))]
+    urls = [("http://bad.com", 1), ("http://BAD.com", 6), ("http://[2001:db8::1]:80/x", 1), ("http://[2001:db8::2]/", 1), ("http://10.0.0.1:8080/", 1), ("http://9.10.0.0.1/", 1), ("http://...", 1)]
+    got = url_filters.judge(spark.createDataFrame([(i, u, day(d)) for i, (u, d) in enumerate(urls)], "page_id long, url string, fetched date"), spark.createDataFrame(ev, "pattern string, category string, action string, day date"))
+    assert _rows(got, "page_id", "n_active", "host") == [(0, 1, "bad.com"), (1, 0, "bad.com"), (2, 1, "[2001:db8::1]"), (3, 0, "[2001:db8::2]"), (4, 1, "10.0.0.1"), (5, 0, "9.10.0.0.1"), (6, 0, None)]
+
+
+def test_spread_join(spark):
+    from plumbline.llm import common
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(900, None)], "i long, k string")
+    other = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4)], "k string, v int")
+    want = sorted([(i, v) for i in range(300) if i % 3 for v in (1, 2)] + [(3, 3)])
+    assert _rows(common.join_spread(rows, other, ["k"], "i"), "i", "v") == want
+    one = spark.createDataFrame([("hot", 1, 200), ("k3", 3, 1)], "k string, v int, n long")
+    got = common.join_spread(rows, one, ["k"], "i", "n", "left")
+    assert got.count() == 301 and _rows(got.where("v is not null"), "i", "v") == sorted([(i, 1) for i in range(300) if i % 3] + [(3, 3)])
 
 
 def test_url_filters_of_one_label(spark):
