@@ -36,13 +36,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one; documents left without a word go."""
-    out = line_dedup.dedup_documents(docs)
+    # The whole row goes along as one column, so no column of it meets a name of the operator's.
+    out = line_dedup.dedup_documents(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     out = out.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    # n_chars goes with the text where a text was changed.
-    cols = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    row = {c: F.col("row")[c] for c in docs.columns}
+    cols = dict(row) | {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(row["text"])}
+    if "n_chars" in row:  # goes with the text where a text was changed
+        cols["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return out.select(*[v.alias(c) for c, v in cols.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
