@@ -111,25 +111,22 @@ def join_shared(rows: DataFrame, shared: DataFrame, keys: list[str], members: st
 
 
 def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], by: str, members: str | None = None, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``other`` by ``keys``; a key with more rows than a partition's share is spread over as many tasks as it fills.
+    """``rows`` (inner or left) joined with ``other`` by ``keys``; a key with more rows than a partition's share is spread over as many tasks as it fills.
 
-    ``by`` is a column of ``rows`` that tells the rows of one key apart.  ``members`` is a column of ``other`` (a written table): how many
-    rows each key has; without it they are counted.  It is no column of the result.  Only keys with a share of 1 / partitions or more,
-    which cannot be more than there are partitions, are broadcast; the rows of ``other`` with such a key are repeated for each of its tasks.
+    ``rows`` are read twice.  ``by`` is a column of theirs that tells the rows of one key apart.  Keys with a share of 1 / partitions or
+    more, which cannot be more than there are partitions, are broadcast with the number of their tasks; rows of ``other`` with such a key
+    are repeated for each of them.  ``members`` is a column of ``other`` (one row for each key) with the number of the key's rows, if
+    these are known; else they are counted.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if members is None:
-        counts = stage(rows.groupBy(*keys).agg(F.count("*").alias("_members")), "counts")
-        total = counts.agg(F.sum("_members")).first()[0] or 1
-        other = other.join(counts, keys).withColumnRenamed("_members", "_tasks")
-    else:
-        total = other.select(*keys, members).distinct().agg(F.sum(members)).first()[0] or 1
-        other = other.withColumnRenamed(members, "_tasks")
-    other = other.withColumn("_tasks", F.ceil(F.col("_tasks") * F.lit(parts / total)).cast("int"))
-    hot = other.where("_tasks > 1").select(*keys, F.col("_tasks").alias("_n")).distinct()
-    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_n"), F.lit(0)).cast("int")).drop("_n")
-    other = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).drop("_tasks")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_c")) if members is None else other.select(*keys, F.col(members).alias("_c"))
+    total = rows.count() if members is None else counts.agg(F.sum("_c")).first()[0] or 0
+    hot = counts.where(F.col("_c") * parts > total).select(*keys, F.ceil(F.col("_c") * F.lit(parts / max(1, total))).cast("int").alias("_n")).collect()
+    if not hot:
+        return rows.join(other, keys, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys, F.lit(0).alias("_n")).schema))
+    rows = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_n"), F.lit(0)).cast("int")).drop("_n")
+    other = other.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
     return rows.join(other, [*keys, "_salt"], how).drop("_salt")
 
 
