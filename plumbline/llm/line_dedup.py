@@ -44,7 +44,8 @@ def sorted_run(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     rows = docs.select("doc_id", _row_key(F.col("text")).alias("text_key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     # Whatever is shorter than min_chars bytes is also shorter in code points: most short lines go before their key is made.
     rows = rows.where(F.octet_length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    rows = rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "doc_id", "text_key", "pos")
+    # Written before the ranges are made: these are sampled from the hashes, texts are read once.
+    rows = C.stage(rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "doc_id", "text_key", "pos"), "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The window asks for its rows together by line and document, as the ranges have them: it sorts each range, and moves nothing.
     stream = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos", "text_key")
@@ -81,16 +82,18 @@ def apply_bitmaps(docs: DataFrame, found: DataFrame) -> DataFrame:
     The bitmaps are the small side: a hash table of one partition of them at a time, so texts are shuffled but not sorted.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    # The caller's columns travel in one struct, so none of them meets a name used here.
-    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), _row_key(F.col("text")).alias("text_key"))
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    # The caller's other columns travel in one struct, so none of them meets a name used here.
+    rows = docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("row"), _row_key(F.col("text")).alias("text_key"))
     found = found.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "bitmap")
     out = rows.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     out = out.withColumn("gone", F.when(F.col("bitmap").isNotNull(), dropped_positions(F.col("bitmap"))))
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept_lines(_lines(F.col("text")), F.col("gone")), "\n"))
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    out = out.select("row", n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_dropped"), kept.alias("kept_text"))
-    return out.select(*[F.col("row")[c].alias(c) for c in names], "n_lines", "n_dropped", "kept_text")
+    out = out.select("doc_id", F.col("text").alias("given"), "row", n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("given")}
+    return out.select(*[own.get(c, F.col("row")[c]).alias(c) for c in names], "n_lines", "n_dropped", "kept_text")
 
 
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
