@@ -5,15 +5,20 @@ Ids are cut into chunks where a rolling hash over the last ``WINDOW`` ids has ``
 
 * ``chunks``: each distinct chunk once, under the BLAKE2 digest of its ids;
 * ``recipes``: per document, in ascending doc_id order, its start in the stream of all ids and the digests to join;
-* ``manifest``: Merkle roots of blocks of documents, of segments and of the whole store.
+* ``manifest``: a Merkle tree over the recipes: leaves of documents (doc_id, start, length, chunks) in blocks, blocks in segments,
+  segments in the root of the whole store, each with its counts.
+
+Reading recomputes the tree from the recipes and holds every node against the manifest: a recipe that is lost, altered, swapped or moved
+fails the read, as does a damaged or missing chunk.  Who keeps the root that write_store() returns can have the manifest checked too.
 
 Defined cases: a null text is empty and has only the end id; an empty table gives an empty store; rows that repeat a doc_id
-are documents of their own, in the order of their digests; other columns are ignored.
+are documents of their own, in the order of their digests; rows without a doc_id come first; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -33,7 +38,7 @@ from . import common as C
 WINDOW, MASK_BITS, MIN_IDS, MAX_IDS = 16, 9, 128, 4096
 #: Documents under one leaf block of the manifest; segments are as many as the shuffle has partitions.
 BLOCK = 1024
-#: Words whose ids a worker remembers, at most (two generations of half as many).
+#: Words whose ids a worker remembers, at most, but for those of one slice.
 REMEMBERED = 250_000
 _CRC_POLY = 0xEDB88320
 
@@ -53,9 +58,11 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.limit = remembered
-        self.lowers = "Lowercase" in str(self.tok.normalizer)  # then folding A-Z before changes nothing
+        spec = json.loads(self.tok.to_str())
+        self.lowers = spec["normalizer"] == _NORMALIZER  # then folding A-Z before changes nothing
         suffix = self.tok.model.end_of_word_suffix if isinstance(self.tok.model, BPE) else None
-        self.plain = bool(self.lowers and suffix and "ByteLevel" in str(self.tok.pre_tokenizer))
+        # Only with exactly these parts is a run of letters known to be a piece of its own.
+        self.plain = bool(self.lowers and suffix and spec["pre_tokenizer"] == _PRE_TOKENIZER)
         self.pieces = Tokenizer(self.tok.model)
         self.pieces.pre_tokenizer = WhitespaceSplit()
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
@@ -120,6 +127,15 @@ class WordEncoder:
         return out
 
 
+#: The parts, as a tokenizer's file spells them, for which runs of plain letters go to the model without the normaliser (fixed values).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _LETTERS = "[a-zß-öø-ÿÀ-ÖØ-Þ]"
 _MARKS = r"[!-&(-/:-@\[-`{-~]"
 #: Byte-level spelling: a byte that prints stands for itself, the others for the code points from 256 on, in their order.
@@ -131,7 +147,7 @@ _GEAR = C.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """At each id, a hash of the WINDOW ids that end there (fewer at the beginning)."""
-    h, k = _GEAR[ids & 0xFFFF].copy(), 1
+    h, k = _GEAR[ids] if ids.dtype == np.dtype("<u2") else C.mix((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), 1
     while k < WINDOW:
         nxt = h.copy()
         nxt[k:] += h[:-k] << np.uint64(k)
@@ -182,8 +198,8 @@ def merkle_root(col):
     return F.sha2(F.coalesce(F.aggregate(col, F.lit("").cast("binary"), lambda a, x: F.concat(a, x)), F.lit("").cast("binary")), 256)
 
 
-def write_store(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None:
-    """Encode ``docs`` (doc_id, text) and write chunks, recipes and manifest under ``root``."""
+def write_store(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> str:
+    """Encode ``docs`` (doc_id, text), write chunks, recipes and manifest under ``root``, and return the Merkle root of the store."""
     spark = docs.sparkSession
     rows = C.stage(C.plain(docs, "doc_id", "text").mapInArrow(_chunker(tokenizer, end_id), "rid long, doc_id long, n_tokens long, pos int, off long, n int, digest binary, payload binary"), "ids")
     rows.select("digest", "n", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{root}/chunks")
@@ -202,17 +218,43 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None
     bases = spark.createDataFrame(bases, "seg int, base long")
     w = Window.partitionBy("seg").orderBy(*order)
     ordered = ordered.join(F.broadcast(bases), "seg")
-    ordered = ordered.withColumn("start", F.col("base") + F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).withColumn("block", F.expr(f"(row_number() over (partition by seg order by {', '.join(order)}) - 1) div {BLOCK}"))
+    ordered = ordered.withColumn("start", F.col("base") + F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).withColumn("block", F.expr(f"cast((row_number() over (partition by seg order by {', '.join(order)}) - 1) div {BLOCK} as int)"))
     ordered.select("seg", "block", *order, "start", "n_tokens", "parts").write.parquet(f"{root}/recipes")
     manifest(spark.read.parquet(f"{root}/recipes")).write.parquet(f"{root}/manifest")
     C.drop_path(spark, f"{root}/ordered")
+    return spark.read.parquet(f"{root}/manifest").where("seg = -1").first().root
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
-    """Merkle roots of blocks of at most BLOCK documents, then of segments."""
-    blocks = recipes.groupBy("seg", "block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "doc_id", "root"))).alias("d"))
-    blocks = blocks.select("seg", "block", "n_docs", "n_tokens", merkle_root(F.transform("d.root", lambda r: r.cast("binary"))).alias("root"))
-    return blocks.groupBy("seg").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("block", "root"))).alias("blocks")).withColumn("root", merkle_root(F.transform("blocks.root", lambda r: r.cast("binary"))))
+    """seg, block, n_docs, n_tokens, root: each block of at most BLOCK documents, each segment (block -1) and the store (seg and block -1).
+
+    A leaf says all of a recipe: its document, where it starts, how long it is, and the root over its chunks' digests.
+    """
+    said = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", merkle_root(F.transform("parts.digest", lambda d: d)))
+    leaf = F.unhex(F.sha2(said.cast("binary"), 256))
+    level = lambda df, by, key: df.groupBy(*by).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct(key, "hash"))).alias("kids")).withColumn("root", merkle_root("kids.hash"))
+    up = lambda df, *keys: df.select(*keys, "n_docs", "n_tokens", F.unhex("root").alias("hash"))
+    # Starts differ, since each document has an id at least: they give the order.
+    blocks = level(recipes.select("seg", "block", "start", F.lit(1).cast("long").alias("n_docs"), "n_tokens", leaf.alias("hash")), ["seg", "block"], "start")
+    segments = level(up(blocks, "seg", "block"), ["seg"], "block")
+    # One child for each segment, as many as the shuffle that wrote the store had partitions; none gives the root of an empty store.
+    store = level(up(segments, "seg"), [], "seg")
+    whole = store.select(F.lit(-1).alias("seg"), F.lit(-1).alias("block"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "root")
+    cols = ["seg", "block", "n_docs", "n_tokens", "root"]
+    return blocks.select(*cols).unionByName(segments.withColumn("block", F.lit(-1)).select(*cols)).unionByName(whole)
+
+
+def verify(spark: SparkSession, root: str, expected: str | None = None) -> str:
+    """The store's Merkle root, after every node made from the recipes was held against the manifest, and the root against ``expected``."""
+    said, made = spark.read.parquet(f"{root}/manifest"), manifest(spark.read.parquet(f"{root}/recipes"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("n_docs", "n_tokens", "root")]
+    both = said.alias("s").join(made.alias("m"), ["seg", "block"], "full").where(~(same[0] & same[1] & same[2]))
+    if wrong := both.select("seg", "block").orderBy("seg", "block").limit(1).collect():
+        raise ValueError(f"recipes differ from the manifest (segment {wrong[0].seg}, block {wrong[0].block})")
+    tops = said.where("seg = -1").collect()
+    if len(tops) != 1 or expected not in (None, tops[0].root):
+        raise ValueError("the manifest is not that of the store expected")
+    return tops[0].root
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -235,20 +277,27 @@ def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _facts(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col, out = pa.concat_arrays([b.column("payload")]), []
-            at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
-            raw = memoryview(col.buffers()[2] or b"")[int(at[0]) : int(at[-1])]
-            wide, at = memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4")).cast("B"), at - at[0]
-            for want, n, s, e in zip(b.column("digest").to_pylist(), b.column("n").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if hashlib.blake2b(raw[s:e], digest_size=16).digest() != want or e - s != n * width:
-                    raise ValueError(f"chunk {want.hex()} is damaged")
-                out.append(zlib.crc32(wide[s * 4 // width : e * 4 // width]))
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(out, pa.int64())], names=["digest", "crc"])
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk, its digest checked: the CRC of its ids as 32-bit integers."""
+    for b in batches:
+        col, out = pa.concat_arrays([b.column("payload")]), []
+        at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+        raw, at = memoryview(col.buffers()[2] or b"")[int(at[0]) : int(at[-1])], at - at[0]
+        counts = b.column("n").to_numpy(zero_copy_only=False)
+        width = _width(len(raw), int(counts.sum()))
+        wide = memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4")).cast("B")
+        for want, n, s, e in zip(b.column("digest").to_pylist(), counts.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if hashlib.blake2b(raw[s:e], digest_size=16).digest() != want or e - s != n * width:
+                raise ValueError(f"chunk {want.hex()} is damaged")
+            out.append(zlib.crc32(wide[s * 4 // width : e * 4 // width]))
+        yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(out, pa.int64())], names=["digest", "crc"])
 
-    return run
+
+def _width(n_bytes: int, n_ids: int) -> int:
+    """Bytes an id has: 2 or 4, as the vocabulary needed."""
+    if n_bytes not in (2 * n_ids, 4 * n_ids):
+        raise ValueError("a chunk is damaged")
+    return n_bytes // n_ids if n_ids else 2
 
 
 @F.pandas_udf(T.LongType())
@@ -256,33 +305,38 @@ def _term(crc: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(shift_crc(crc.to_numpy(np.uint64), 4 * after.to_numpy(np.uint64)).astype(np.int64))
 
 
-def read_back(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, n_chunks, merkle_root.
+def read_back(spark: SparkSession, root: str, expected: str | None = None) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, n_chunks, merkle_root (over its chunks).
 
-    Every chunk is read and its digest checked, every recipe is checked against its root.  CRCs of the parts are combined
-    algebraically, so ids do not move; a missing part or a wrong length fails the read.
+    The recipes are verified against the manifest first; then every chunk is read and its digest checked.  CRCs of the parts are combined
+    algebraically, so ids do not move; a missing part or a wrong length fails the read.  A chunk that very many documents share (that
+    of the empty text, say) is joined by broadcasting its row of fixed width.
     """
+    verify(spark, root, expected)
     recipes = spark.read.parquet(f"{root}/recipes")
-    facts = spark.read.parquet(f"{root}/chunks").mapInArrow(_facts(width), "digest binary, crc long")
+    facts = spark.read.parquet(f"{root}/chunks").mapInArrow(_facts, "digest binary, crc long")
     refs = recipes.select("rid", "n_tokens", F.explode("parts").alias("p")).select("rid", F.col("p.n").alias("n"), (F.col("n_tokens") - F.col("p.off") - F.col("p.n")).alias("after"), F.col("p.digest").alias("digest"))
-    terms = refs.join(facts, "digest").select("rid", "n", _term("crc", "after").alias("term"))
+    counts = refs.groupBy("digest").agg(F.count("*").alias("refs"))
+    known = C.stage(facts.join(counts, "digest"), "facts")
+    total = known.agg(F.coalesce(F.sum("refs"), F.lit(0))).first()[0]
+    terms = C.join_shared(refs, known, ["digest"], "refs", total).select("rid", "n", _term("crc", "after").alias("term"))
     sums = terms.groupBy("rid").agg(F.bit_xor("term").alias("crc"), F.sum("n").alias("got"), F.count("*").alias("n_chunks"))
-    heads = recipes.select("rid", "doc_id", "start", "n_tokens", "root", F.size("parts").alias("want"), (merkle_root("parts.digest") == F.col("root")).alias("whole"))
+    heads = recipes.select("rid", "doc_id", "start", "n_tokens", "root", F.size("parts").alias("want"))
     found = heads.join(sums, "rid", "left")
-    good = F.col("whole") & (F.col("got") == F.col("n_tokens")) & (F.col("n_chunks") == F.col("want"))
-    crc = F.when(F.coalesce(good, F.lit(False)), F.col("crc")).otherwise(F.raise_error(F.concat(F.lit("document cannot be rebuilt: "), F.col("doc_id").cast("string"))).cast("long"))
+    good = (F.col("got") == F.col("n_tokens")) & (F.col("n_chunks") == F.col("want"))
+    crc = F.when(F.coalesce(good, F.lit(False)), F.col("crc")).otherwise(F.raise_error(F.concat(F.lit("document cannot be rebuilt: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("long"))
     return found.select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"), F.col("want").cast("long").alias("n_chunks"), F.col("root").alias("merkle_root"))
 
 
 def read_ids(spark: SparkSession, root: str) -> DataFrame:
-    """Documents with their ids, rebuilt from the chunks: doc_id, start, ids array<int>."""
+    """Documents with their ids, rebuilt from the chunks: doc_id, start, ids array<long>."""
     recipes = spark.read.parquet(f"{root}/recipes")
-    refs = recipes.select("rid", "doc_id", "start", F.explode("parts").alias("p")).select("rid", "doc_id", "start", "p.pos", "p.digest")
-    joined = refs.join(spark.read.parquet(f"{root}/chunks").select("digest", "payload"), "digest").groupBy("rid", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
+    refs = recipes.select("rid", "doc_id", "start", F.explode("parts").alias("p")).select("rid", "doc_id", "start", "p.pos", "p.n", "p.digest")
+    joined = refs.join(spark.read.parquet(f"{root}/chunks").select("digest", "payload"), "digest").groupBy("rid", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "payload"))).alias("parts"))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def ids(parts: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(b"".join(p["payload"] for p in row), "<u2").astype(np.int32) for row in parts])
+        return pd.Series([np.frombuffer(raw := b"".join(p["payload"] for p in row), f"<u{_width(len(raw), sum(p['n'] for p in row))}").astype(np.int64) for row in parts])
 
     return joined.select("doc_id", "start", ids("parts").alias("ids"))
 
@@ -291,5 +345,5 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     root = C.new_path(spark, "store")
-    write_store(C.table(spark, sf_dir, "documents"), root, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return read_back(spark, root)
+    made = write_store(C.table(spark, sf_dir, "documents"), root, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_back(spark, root, made)
