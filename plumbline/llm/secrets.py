@@ -2,14 +2,16 @@
 
 Base spans (assign, access, hex) are reported wherever they stand.  Weak spans (ident, endpoint, secret) are reported only
 where a complementary part lies within ``SCOPE`` code points: a secret or an endpoint is no finding by itself.  All spans of a
-document are sorted by start; running maxima of earlier ends and running minima of later starts, by role, give each weak
-span its nearest complement on either side, so the interval join costs one sort and never forms pairs.
+document are sorted by start; running maxima of earlier ends and running minima of later starts, by role, give each span
+its nearest complement on either side, so the interval join costs one sort and never forms pairs.  The nearer of the two is linked
+to it: a link says which two parts belong together, and is reported for base and weak spans alike.
 
-Roles: identifier (access, ident), secret (assign, hex, secret), endpoint.  secret needs an identifier, ident and endpoint need a
-secret.  Weak spans that overlap a base span are left out: the base span says it already.
+Roles: identifier (access, ident), secret (assign, hex, secret), endpoint.  An identifier and an endpoint are completed by a secret, a
+secret by an identifier or an endpoint.  Weak spans that overlap a base span are left out: the base span says it already.
 
 Defined cases: a null text is empty; documents without findings have zeros and empty strings; repeated rows are scanned
-each; an empty table gives an empty result; other columns are ignored.
+each; of two complements at the same distance the earlier one is linked, of several that overlap the span the one that ends last; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ KINDS = {
     "endpoint": ("https?://[A-Za-z0-9.-]+", 0, 11, "e", False, "://"),
     "secret": ("[A-Za-z0-9+/]+", 0, 40, "s", False, "[A-Za-z0-9+/]{40}"),
 }
-_NEEDS = {"secret": "i", "ident": "s", "endpoint": "s"}
+#: The roles that complete each role.
+_NEEDS = {"i": "s", "e": "s", "s": "ie"}
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -53,7 +56,7 @@ def _found(text: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rid and doc_id of each row of ``docs``, and the reported spans: rid, start, stop, kind, ord, base."""
+    """(rows, spans): rid and doc_id of each row of ``docs``, and the reported spans: rid, start, stop, kind, ord, base, and what each is linked to (link: start, stop, ord; or null)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn("rid", F.monotonically_increasing_id())
     rows = C.stage(base.select("rid", "doc_id", *[_found(F.col("text"), k).alias(k) for k in KINDS]), "scan")
@@ -68,26 +71,39 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> tuple[DataFrame, DataFrame]:
     each = each.withColumn("role", F.get(F.array(*[F.lit(v[3]) for v in KINDS.values()]), F.col("ord"))).withColumn("base", F.get(F.array(*[F.lit(v[4]) for v in KINDS.values()]), F.col("ord")))
     back = Window.partitionBy("rid").orderBy("start", "stop", "ord").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("stop"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
-    of = lambda role, c: F.when(F.col("role") == role, F.col(c))
-    each = each.select("*", *[F.max(of(r, "stop")).over(back).alias(f"{r}_before") for r in "is"], F.max(F.when(F.col("base"), F.col("stop"))).over(back).alias("b_before"), *[F.min(of(r, "start")).over(ahead).alias(f"{r}_after") for r in "is"], F.min(F.when(F.col("base"), F.col("start"))).over(ahead).alias("b_after"))
-    near = lambda r: (F.col("start") - F.coalesce(f"{r}_before", F.lit(-1 << 40)) <= scope) | (F.coalesce(f"{r}_after", F.lit(1 << 40)) - F.col("stop") <= scope)
-    kind = F.get(kinds, F.col("ord"))
-    linked = F.lit(False)
-    for weak, role in _NEEDS.items():
-        linked = linked | ((kind == weak) & near(role))
-    alone = (F.coalesce("b_before", F.lit(-1)) <= F.col("start")) & (F.coalesce("b_after", F.lit(1 << 40)) >= F.col("stop"))
-    return rows.select("rid", "doc_id"), each.where(F.col("base") | (linked & alone)).select("rid", "start", "stop", kind.alias("kind"), "ord", "base")
+    seen, coming = F.struct("stop", "start", "ord"), F.struct("start", "stop", "ord")
+    completes = lambda role: F.col("role").isin(*_NEEDS[role])
+    each = each.select("*", *[F.max(F.when(completes(r), seen)).over(back).alias(f"{r}_before") for r in _NEEDS], F.max(F.when(F.col("base"), F.col("stop"))).over(back).alias("b_before"), *[F.min(F.when(completes(r), coming)).over(ahead).alias(f"{r}_after") for r in _NEEDS], F.min(F.when(F.col("base"), F.col("start"))).over(ahead).alias("b_after"))
+    pick = lambda side: F.coalesce(*[F.when(F.col("role") == r, F.col(f"{r}_{side}")) for r in _NEEDS])
+    each = each.withColumn("before", pick("before")).withColumn("after", pick("after"))
+    far = F.lit(1 << 40)
+    gap = lambda side, between: F.when(F.col(side).isNull(), far).otherwise(F.greatest(between, F.lit(0)))
+    gap_before, gap_after = gap("before", F.col("start") - F.col("before.stop")), gap("after", F.col("after.start") - F.col("stop"))
+    as_link = lambda side: F.struct(F.col(f"{side}.start").alias("start"), F.col(f"{side}.stop").alias("stop"), F.col(f"{side}.ord").alias("ord"))
+    each = each.withColumn("link", F.when(F.least(gap_before, gap_after) <= scope, F.when(gap_before <= gap_after, as_link("before")).otherwise(as_link("after"))))
+    alone = (F.coalesce("b_before", F.lit(-1)) <= F.col("start")) & (F.coalesce("b_after", far) >= F.col("stop"))
+    return rows.select("rid", "doc_id"), each.where(F.col("base") | (F.col("link").isNotNull() & alone)).select("rid", "start", "stop", F.get(kinds, F.col("ord")).alias("kind"), "ord", "base", "link")
+
+
+def links(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """One row for each link: doc_id, kind, start, stop of a reported span and other_kind, other_start, other_stop of its complement."""
+    rows, spans = scan(docs, scope)
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    return rows.join(spans.where(F.col("link").isNotNull()), "rid").select("doc_id", "kind", "start", "stop", F.get(kinds, F.col("link.ord")).alias("other_kind"), F.col("link.start").alias("other_start"), F.col("link.stop").alias("other_stop"))
 
 
 def report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
+    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked (weak spans), links (span>complement)."""
     rows, spans = scan(docs, scope)
-    item = F.struct("start", "ord", F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("stop").cast("string")).alias("said"), "base")
+    text = lambda kind, at: F.concat_ws(":", kind, F.col(f"{at}start").cast("string"), F.col(f"{at}stop").cast("string"))
+    said = text(F.col("kind"), "")
+    link = F.when(F.col("link").isNotNull(), F.concat_ws(">", said, text(F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("link.ord")), "link.")))
+    item = F.struct("start", "ord", said.alias("said"), "base", link.alias("link"))
     by = spans.groupBy("rid").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS if KINDS[k][4]], F.count_if(~F.col("base")).alias("n_linked"), F.array_sort(F.collect_list(item)).alias("all"))
     out = rows.join(by, "rid", "left")
-    everything = F.coalesce("all", F.array().cast("array<struct<start:bigint,ord:int,said:string,base:boolean>>"))
-    said = lambda xs: F.array_join(F.transform(xs, lambda x: x["said"]), ",")
-    return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS if KINDS[k][4]], F.sha2(said(F.filter(everything, lambda x: x["base"])).cast("binary"), 256).alias("base_sha256"), said(everything).alias("spans"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    everything = F.coalesce("all", F.array().cast("array<struct<start:bigint,ord:int,said:string,base:boolean,link:string>>"))
+    joined = lambda xs, c: F.array_join(F.transform(xs, lambda x: x[c]), ",")
+    return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS if KINDS[k][4]], F.sha2(joined(F.filter(everything, lambda x: x["base"]), "said").cast("binary"), 256).alias("base_sha256"), joined(everything, "said").alias("spans"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), joined(F.filter(everything, lambda x: x["link"].isNotNull()), "link").alias("links"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,16 +119,22 @@ def _oracle() -> str:
             f"select doc_id, unnest(range(len(mm))) as k, unnest(list_transform(bb[:len(mm)], lambda x: length(x))) as b, unnest(list_transform(mm, lambda x: length(x))) as m, unnest(list_transform(gg, lambda x: length(x) >= {least})) as ok from ("
             f"select doc_id, string_split_regex(text, {quoted(p)}) as bb, regexp_extract_all(text, {quoted(p)}, 0) as mm, regexp_extract_all(text, {quoted(p)}, {group}) as gg from d where regexp_matches(text, {quoted(p)})))"
         )
-    near = lambda r: f"exists (select 1 from s o where o.doc_id = s.doc_id and o.role = '{r}' and o.start - s.stop <= {SCOPE} and s.start - o.stop <= {SCOPE})"
-    weak = " or ".join(f"(kind = '{k}' and {near(r)})" for k, r in _NEEDS.items())
+    needs = " or ".join(f"s.role = '{r}' and o.role in ({', '.join(quoted(x) for x in v)})" for r, v in _NEEDS.items())
+    far = 1 << 40
     return f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 s as (select * from ({' union all '.join(parts)}) where ok),
-r as (select * from s where base or (({weak}) and not exists (select 1 from s o where o.doc_id = s.doc_id and o.base and o.start < s.stop and s.start < o.stop)))
+c as (select s.doc_id, s.start, s.stop, s.ord, max({{'stop': o.stop, 'start': o.start, 'ord': o.ord, 'kind': o.kind}}) filter (where (o.start, o.stop, o.ord) < (s.start, s.stop, s.ord)) as b,
+  min({{'start': o.start, 'stop': o.stop, 'ord': o.ord, 'kind': o.kind}}) filter (where (o.start, o.stop, o.ord) > (s.start, s.stop, s.ord)) as a
+  from s join s o on o.doc_id = s.doc_id and ({needs}) group by all),
+g as (select *, case when b is null then {far} else greatest(start - b.stop, 0) end as gb, case when a is null then {far} else greatest(a.start - stop, 0) end as ga from c),
+l as (select doc_id, start, stop, ord, case when gb <= ga then b.kind || ':' || b.start || ':' || b.stop else a.kind || ':' || a.start || ':' || a.stop end as link from g where least(gb, ga) <= {SCOPE}),
+r as (select s.*, l.link from s left join l using (doc_id, start, stop, ord) where s.base or l.link is not null and not exists (select 1 from s o where o.doc_id = s.doc_id and o.base and o.start < s.stop and s.start < o.stop))
 select d.doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
   sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) filter (where base), '')) as base_sha256,
   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord), '') as spans,
-  count(*) filter (where not base) as n_linked
+  count(*) filter (where not base) as n_linked,
+  coalesce(string_agg(kind || ':' || start || ':' || stop || '>' || link, ',' order by start, ord) filter (where link is not null), '') as links
 from d left join r using (doc_id) group by d.doc_id
 """
 
