@@ -4,14 +4,16 @@
    goes on.  Links and components are of classes; a component's id is the smallest doc_id of its classes.
 2. Signatures of BANDS x ROWS minima are cut into bands; documents that share a band are candidates.  In a bucket each member
    is compared with the smallest only, so a bucket of n makes n - 1 pairs.  Where its members then still lie in different
-   components, each member of a smaller one asks all documents of the larger one: small ones pair by pair, large ones and crowded
-   buckets in blocks.
-3. Candidates are compared by batches of minima.  Given m equal ones of n, the posterior of the similarity under a uniform prior
-   is Beta(m + 1, n - m + 1); a pair goes when P(similarity >= threshold) falls below MISS.
-4. What is left is verified on the full shingle sets, made from the texts.  Links join components by small-star and
-   large-star rounds over written tables.
+   components, each member of a smaller one asks all documents of the larger one: where both are small pair by pair, else in blocks
+   of documents that hold signatures and hashed shingles.
+3. Candidates, in pairs and in blocks, are compared by batches of minima.  Given m equal ones of n, the posterior of the similarity under
+   a uniform prior is Beta(m + 1, n - m + 1); a pair goes when P(similarity >= threshold) falls below MISS.  Within a block what is
+   left is compared by hashed shingles, and of those that reach the threshold one for each asker and component goes on.
+4. Every link is verified on the full shingle sets, made from the texts.  Links join components by small-star and
+   large-star rounds over written tables, until each component is a star.
 
 A pair at the very threshold is missed by all bands with probability (1 - 0.8^5)^32 = 3e-6, and less above it.
+Joins on keys that may be common (a centre, a bucket, a component, a set) go by common.join_spread() or join_shared().
 
 Defined cases: null and empty texts have no shingles and no links; texts with fewer words than a shingle have one, their words;
 rows are judged by their own text also where they repeat a doc_id; equal texts are one group; an empty table gives an empty
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,41 +38,42 @@ from . import common as C
 BANDS, ROWS = 32, 5
 #: A batch of minima, and the probability with which a pair at or above the threshold may be dropped on one.
 BATCH, MISS = 32, 1e-6
-#: Components of more documents than this are compared in blocks of about BLOCK documents.
+#: Components of more documents than this are asked in blocks of about BLOCK documents; what is linked is the same.
 SMALL, BLOCK = 32, 512
 
 _SEEDS = C.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint32)
 
 
-def shingles(flat: pa.Array, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of each text's distinct k-word shingles, and where each text's begin.
+def window_names(codes: np.ndarray, n_names: int, k: int) -> tuple[np.ndarray, int]:
+    """For each place a number that names the window of ``k`` codes that begins there, and how many numbers there are.  Names are exact: halves are named first."""
+    if k == 1:
+        return codes, n_names
+    half = 1 << ((k - 1).bit_length() - 1)
+    (left, _), (right, n_right) = window_names(codes, n_names, half), window_names(codes, n_names, k - half)
+    names, distinct = pd.factorize(left * n_right + right[np.minimum(np.arange(len(codes)) + half, len(codes) - 1)])
+    return names, len(distinct)
 
-    Distinctness within a text is decided on word codes, not on hashes, as long as these fit into 63 bits.
-    """
+
+def shingles(flat: pa.Array, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's distinct k-word shingles, and where each text's begin.  Distinctness is decided on the words, not on hashes."""
     codes, names = C.coded(flat)
     words = C.hash_strings(names)
     sizes = np.diff(offs)
     n = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
     at = C.gather(offs[:-1], n)
     own = np.repeat(np.arange(len(n)), n)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
+    name, n_windows = window_names(codes, max(1, len(names)), k)
+    # A text with fewer words than a shingle has one shingle only.
+    first = ~pd.Series(own * n_windows + name[at]).duplicated().to_numpy()
+    at, own = at[first], own[first]
     length = np.minimum(sizes, k)[own]
-    h, key, v = np.zeros(len(at), np.uint64), own.astype(np.int64), max(1, len(names)) + 1
-    exact = (len(n) + 1) * v**k < 2**63
+    h = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            c = codes[np.minimum(at + j, max(0, len(codes) - 1))] if len(codes) else np.zeros(0, np.int64)
-            inside = j < length
-            h = np.where(inside, C.mix(h * np.uint64(0x9E3779B97F4A7C15) + words[c] + np.uint64(j + 1)), h) if len(codes) else h
-            if exact:
-                key = key * v + np.where(inside, c + 1, 0)
-    if exact:
-        first = np.unique(key, return_index=True)[1]
-        h, own = h[first], own[first]
-    else:
-        order = np.lexsort((h, own))
-        h, own = h[order], own[order]
-        keep = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])]) if len(h) else np.zeros(0, bool)
-        h, own = h[keep], own[keep]
+            c = codes[np.minimum(at + j, len(codes) - 1)]
+            h = np.where(j < length, C.mix(h * np.uint64(0x9E3779B97F4A7C15) + words[c] + np.uint64(j + 1)), h)
     return h, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(n)))]).astype(np.int64)
 
 
@@ -166,56 +170,76 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _hashes(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in C.slices(whole):
+                h, at = shingles(*C.split_words(pc.ascii_lower(C.texts_of(b))), k)
+                raw = [np.sort(h[s:e]).tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(raw, pa.binary())], names=["id", "hashes"])
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node reachable) of undirected links (a, b), by small-star and large-star rounds."""
     edges = C.stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
     while True:
+        # Done when no node has two edges down, or one down and one up: then each component is a star around its smallest node.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = C.stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), "low")
+        large = C.join_spread(both, low, ["u"], "v", "degree").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         edges = C.stage(small.distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.col("v") % 1000003)).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        state = now
-
 
-def _labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
-    return df.join(labels.select(F.col("node").alias(column), F.col("label").alias("_label")), column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
+def _labelled(df: DataFrame, labels: DataFrame, column: str, name: str, by: str) -> DataFrame:
+    """``df`` (a written table) with the label of ``column``: itself, if it has none."""
+    out = C.join_spread(df, labels.select(F.col("node").alias(column), F.col("label").alias("_label")), [column], by, how="left")
+    return out.withColumn(name, F.coalesce("_label", column)).drop("_label")
 
-def _ask_blocks(asks: DataFrame, whole: DataFrame, names: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between askers (x, own, part, size) and members (part, y, own) of large groups.
 
-    ``names`` (id, doc_id, text_key) says which of the ``texts`` (doc_id, text_key, text) each has.
+def _ask_blocks(asks: DataFrame, group: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Candidate links (a, b) between askers (x, own, part, size) and members (part, y, own) of groups; ``sketches`` (id, sig, hashes) says what they hold.
 
     ``own`` is the component a document is in already: of each block an asker gets one link for each other component at most.
     Askers and members of a group are cut into blocks of about BLOCK each; a task compares one block with another in arrays, so
     a large group makes neither a row for each pair nor a task that grows with it.
     """
-    by = asks.groupBy("part", "size").agg(F.count("*").alias("n")).select("part", F.ceil(F.col("size") / BLOCK).cast("int").alias("ny"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nx"))
+    by = C.stage(asks.groupBy("part", "size").agg(F.count("*").alias("n")).select("part", F.ceil(F.col("size") / BLOCK).cast("int").alias("ny"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nx")), "cells")
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = asks.join(by, "part").select(F.col("x").alias("id"), "own", "part", cell("x", "nx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"))
-    right = whole.join(by, "part").select(F.col("y").alias("id"), "own", "part", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), cell("y", "ny").alias("yb"))
-    left, right = (t.join(names, "id").join(texts, ["doc_id", "text_key"]).select("part", "xb", "yb", "id", "own", "text").toDF(*[f"{side}_{c}" for c in ("part", "xb", "yb", "id", "own", "text")]) for side, t in (("x", left), ("y", right)))
+    left = C.join_spread(asks, by, ["part"], "x").select(F.col("x").alias("id"), "own", "part", cell("x", "nx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"))
+    right = C.join_spread(group, by, ["part"], "y").select(F.col("y").alias("id"), "own", "part", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), cell("y", "ny").alias("yb"))
+    cols = ("part", "xb", "yb", "id", "own", "sig", "hashes")
+    left, right = (t.join(sketches, "id").select(*cols).toDF(*[f"{side}_{c}" for c in cols]) for side, t in (("x", left), ("y", right)))
+    least = least_matches(percent / 100)
 
     def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
         found: tuple[list, list] = ([], [])
         if xs.num_rows and ys.num_rows:
-            (xh, xo), (yh, yo) = (shingles(*C.split_words(pc.ascii_lower(pc.fill_null(pa.concat_arrays(t.chunks), ""))), k) for t in (xs["x_text"], ys["y_text"]))
-            y_size, y_id, y_own = np.diff(yo), ys["y_id"].to_pylist(), ys["y_own"].to_numpy()
-            for i, (x, own) in enumerate(zip(xs["x_id"].to_pylist(), xs["x_own"].to_pylist(), strict=True)):
-                mine = np.sort(xh[xo[i] : xo[i + 1]])
-                if not len(mine):
-                    continue
-                at = np.minimum(np.searchsorted(mine, yh), len(mine) - 1)
-                both = C.segment_sum(mine[at] == yh, yo)
-                hit = np.flatnonzero((both > 0) & (100 * both >= percent * (len(mine) + y_size - both)) & (y_own != own))
-                for j in hit[np.unique(y_own[hit], return_index=True)[1]].tolist():
-                    found[0].append(max(x, y_id[j])), found[1].append(min(x, y_id[j]))
+            xsig, ysig = (np.frombuffer(b"".join(t.to_pylist()), np.uint32).reshape(len(t), -1) for t in (xs["x_sig"], ys["y_sig"]))
+            xset, yset = ([np.frombuffer(h, np.uint64) for h in t.to_pylist()] for t in (xs["x_hashes"], ys["y_hashes"]))
+            y_id, y_own = ys["y_id"].to_pylist(), ys["y_own"].to_numpy()
+            for x, own, sig, mine in zip(xs["x_id"].to_pylist(), xs["x_own"].to_pylist(), xsig, xset, strict=True):
+                live = np.flatnonzero(y_own != own)
+                same = np.zeros(len(y_own), np.int64)
+                for i, need in enumerate(least):
+                    batch = slice(i * BATCH, (i + 1) * BATCH)
+                    same[live] += (ysig[live, batch] == sig[batch]).sum(1)
+                    live = live[same[live] >= need]
+                seen = set()
+                for j in live[np.argsort(-same[live], kind="stable")].tolist():
+                    if y_own[j] in seen:
+                        continue
+                    theirs = yset[j]
+                    both = int((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).sum())
+                    if both and 100 * both >= percent * (len(mine) + len(theirs) - both):
+                        seen.add(y_own[j])
+                        found[0].append(max(x, y_id[j])), found[1].append(min(x, y_id[j]))
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
     left, right = (t.groupBy(*[f"{side}_{c}" for c in ("part", "xb", "yb")]) for side, t in (("x", left), ("y", right)))
@@ -237,74 +261,91 @@ def judge(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = C.plain(docs, "doc_id", "text").withColumn("text_key", text_key(F.col("text")))
     rows = C.stage(docs.mapInArrow(_sketch(k), "doc_id long, text_key long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"), "sketch")
     sets = rows.where("doc_id is not null and f1 is not null")
-    classes = C.stage(sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "classes")
-    # Of rows that repeat the smallest doc_id of a class, one goes on.
-    own = sets.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").dropDuplicates(["f1", "f2", "n_shingles"]).select("id", "doc_id", "text_key", F.col("n_shingles").alias("n"), "sig", "bands")
+    same = ["f1", "f2", "n_shingles"]
+    classes = C.stage(sets.groupBy(*same).agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies")).select("*", F.monotonically_increasing_id().alias("id")), "classes")
+    # The rows that stand for classes are asked for by doc_id and text, which few rows share, not by set; of rows that repeat one, one goes on.
+    names = classes.select("id", "rep.doc_id", "rep.text_key")
+    own = sets.join(names, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key", "id"]).select("id", F.col("n_shingles").alias("n"), "sig", "bands")
     own = C.stage(own, "own")
-    names = own.select("id", "doc_id", "text_key")
+    sig = own.select("id", "sig")
     buckets = own.select("id", "n", F.posexplode("bands").alias("band", "h"))
     # Buckets of one document, nearly all, end here.
     shared = C.stage(buckets.groupBy("band", "h").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1"), "shared")
     members = C.stage(C.join_shared(buckets, shared, ["band", "h"], "members", BANDS * own.count()).select("band", "h", "id", "n", "centre"), "members")
-    texts = docs.where(F.col("doc_id").isNotNull())
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """id, text of the classes ``ids``."""
+        some = ids.join(names, "id")
+        return docs.join(some, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key", "id"]).select("id", "text")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of ``pairs`` (a written table) those that are links, by their full sets."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        some = C.stage(texts_of(ids), "texts")
+        left = C.join_spread(pairs, some.toDF("a", "text_a"), ["a"], "b")
+        full = C.join_spread(C.stage(left, "left"), some.toDF("b", "text_b"), ["b"], "a")
+        return C.stage(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sig = own.select("id", "sig")
-        near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent / 100), "a long, b long")
-        near = C.stage(near, "near")
-        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        some = C.stage(texts.join(ids.join(names, "id"), ["doc_id", "text_key"]).select("id", "text"), "texts")
-        full = near.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return C.stage(full.mapInArrow(_verify(k, percent), "a long, b long"), "links")
-
-    star = C.stage(members.where("id <> centre").groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "star")
+        pairs = C.stage(pairs, "pairs")
+        left = C.join_spread(pairs, sig.toDF("a", "sig_a"), ["a"], "b")
+        near = C.join_spread(C.stage(left, "left"), sig.toDF("b", "sig_b"), ["b"], "a").select("a", "b", "sig_a", "sig_b")
+        return verified(C.stage(near.mapInArrow(_prune(percent / 100), "a long, b long"), "near"))
+
+    star = C.stage(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "star")
     links = confirmed(star.groupBy("a").agg(F.min("b").alias("b")))
     labels = components(links)
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs that are not known to be connected."""
-        return _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-
-    def extended(pairs: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        more = confirmed(pairs)
-        if more.isEmpty():
-            return links, labels
+    # The other centres of each document, as far as they are not known to be connected.
+    across = C.stage(_labelled(star, labels, "a", "la", "b"), "across")
+    more = confirmed(_labelled(across, labels, "b", "lb", "a").where("la <> lb").select("a", "b"))
+    if not more.isEmpty():
         links = links.union(more)
-        return links, components(links)
-
-    links, labels = extended(across(star), links, labels)
+        labels = components(links)
     # What may still be missed joins two components that share a bucket: each member of the smaller one asks the whole larger one.
-    parts = _labelled(members, labels, "id", "part").select("band", "h", "id", "n", "part")
+    parts = C.stage(_labelled(members.select("band", "h", "id", "n"), labels, "id", "part", "h"), "parts")
     apart = parts.groupBy("band", "h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band", "h")
+    parts = C.stage(C.join_spread(parts, apart, ["band", "h"], "id"), "parts")
+    if not parts.isEmpty():
+        links = links.union(_missed(parts, labels, sig, confirmed, verified, texts_of, k, percent))
+        labels = components(links)
+
+    group = labels.union(labels.select("label", "label").distinct()).join(classes.select(F.col("id").alias("node"), F.col("rep.doc_id").alias("rep")), "node")
+    group = C.stage(group.select("label", "node", "rep"), "group")
+    least = C.stage(group.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "least")
+    least = C.join_shared(group, least, ["label"], "size", group.count()).select(F.col("node").alias("id"), "component_id")
+    labelled = C.stage(classes.join(least, "id", "left").select(*same, "copies", F.coalesce("component_id", "rep.doc_id").alias("component_id")), "labelled")
+    cols = ["doc_id", "text_key", "n_shingles", "component_id"]
+    out = C.join_shared(sets.select("doc_id", "text_key", *same), labelled, same, "copies", sets.count()).select(*cols)
+    alone = rows.where("doc_id is null or f1 is null").withColumn("component_id", F.col("doc_id")).select(*cols)
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _missed(parts: DataFrame, labels: DataFrame, sig: DataFrame, confirmed, verified, texts_of, k: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket: ``parts`` (band, h, id, n, part) are the members of buckets with several components."""
     sizes = labels.groupBy(F.col("label").alias("part")).agg((F.count("*") + 1).alias("size"))
-    parts = C.stage(parts.join(apart, ["band", "h"]).join(sizes, "part", "left").withColumn("size", F.coalesce("size", F.lit(1))), "parts")
-    heads = parts.groupBy("band", "h", "part", "size").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    crowded = heads.groupBy("band", "h").agg(F.count("*").alias("c")).where(F.col("c") > SMALL).select("band", "h", F.lit(True).alias("crowded"))
-    heads = heads.join(crowded, ["band", "h"], "left").where(F.col("crowded").isNull() | (F.col("size") > SMALL))
+    parts = C.stage(C.join_spread(parts, sizes, ["part"], "id", how="left").withColumn("size", F.coalesce("size", F.lit(1))), "parts")
+    heads = C.stage(parts.groupBy("band", "h", "part", "size").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi")), "heads")
+    crowded = C.stage(heads.groupBy("band", "h").agg(F.count("*").alias("c")).where(F.col("c") > SMALL).select("band", "h", F.lit(True).alias("crowded")), "crowded")
+    heads = C.join_spread(heads, crowded, ["band", "h"], "part", how="left").where(F.col("crowded").isNull() | (F.col("size") > SMALL))
     # No two sets reach the threshold whose sizes are further apart than it.
-    asks = parts.alias("p").join(heads.alias("q"), ["band", "h"]).where((F.struct("p.size", "p.part") < F.struct("q.size", "q.part")) & (100 * F.col("p.n") >= percent * F.col("q.n_lo")) & (100 * F.col("q.n_hi") >= percent * F.col("p.n")))
-    asks = C.stage(asks.groupBy(F.col("p.id").alias("x"), F.col("p.part").alias("own"), F.col("q.part").alias("part"), F.col("q.size").alias("size")).agg(F.lit(1).alias("one")).drop("one"), "asks")
-    whole = labels.select(F.col("label").alias("part"), F.col("node").alias("y")).union(labels.select("label", "label").distinct())
+    asked = heads.select("band", "h", F.col("part").alias("q_part"), F.col("size").alias("q_size"), "n_lo", "n_hi")
+    asks = C.join_spread(parts, asked, ["band", "h"], "id").where((F.struct("size", "part") < F.struct("q_size", "q_part")) & (100 * F.col("n") >= percent * F.col("n_lo")) & (100 * F.col("n_hi") >= percent * F.col("n")))
+    asks = C.stage(asks.select(F.col("id").alias("x"), F.col("part").alias("own"), F.col("q_part").alias("part"), F.col("q_size").alias("size")).distinct(), "asks")
+    whole = C.stage(labels.select(F.col("label").alias("part"), F.col("node").alias("y")).union(labels.select("label", "label").distinct()), "whole")
     few = asks.where(F.col("size") <= SMALL)
-    pairs = few.where("size = 1").select("x", F.col("part").alias("y")).union(few.where("size > 1").join(whole, "part").select("x", "y"))
+    pairs = few.where("size = 1").select("x", F.col("part").alias("y")).union(C.join_spread(few.where("size > 1"), whole, ["part"], "x").select("x", "y"))
+    links = confirmed(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     # In a bucket with many components the small ones are compared in blocks too, as one group.
-    crowd = parts.where(F.col("size") <= SMALL).join(crowded, ["band", "h"]).select(F.col("id").alias("x"), F.col("part").alias("own"), F.xxhash64("band", "h").alias("part"))
-    crowd = C.stage(crowd.join(crowd.groupBy("part").agg(F.count("*").alias("size")), "part").select("x", "own", "part", "size"), "crowd")
+    crowd = C.stage(C.join_spread(parts.where(F.col("size") <= SMALL), crowded, ["band", "h"], "id").select(F.col("id").alias("x"), F.col("part").alias("own"), F.xxhash64("band", "h").alias("part")), "crowd")
+    counts = C.stage(crowd.groupBy("part").agg(F.count("*").alias("size")), "counts")
+    crowd = C.stage(C.join_spread(crowd, counts, ["part"], "x").select("x", "own", "part", "size"), "crowd")
     many = asks.where(F.col("size") > SMALL)
-    links = links.union(confirmed(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()))
-    for asked, group in ((many, whole.select(F.col("part"), "y", F.col("part").alias("own"))), (crowd, crowd.select("part", F.col("x").alias("y"), "own"))):
-        if not asked.isEmpty():
-            links = links.union(C.stage(_ask_blocks(asked, group, names, texts, k, percent), "links"))
-    labels = components(links)
-
-    group = labels.union(labels.select("label", "label").distinct()).join(classes.select(F.col("id").alias("node"), "rep"), "node")
-    group = C.stage(group.select("label", "node", "rep"), "group")
-    least = C.stage(group.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "least")
-    least = C.join_shared(group, least, ["label"], "size", group.count()).select(F.col("node").alias("id"), "component_id")
-    labelled = classes.join(least, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("doc_id", "text_key", "n_shingles", "f1", "f2").join(labelled, ["f1", "f2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    for ask, group in ((many, whole.join(many.select("part").distinct(), "part", "left_semi").select("part", "y", F.col("part").alias("own"))), (crowd, crowd.select("part", F.col("x").alias("y"), "own"))):
+        if not ask.isEmpty():
+            ids = ask.select(F.col("x").alias("id")).union(group.select("y")).distinct()
+            sketches = C.stage(texts_of(ids).mapInArrow(_hashes(k), "id long, hashes binary").join(sig, "id"), "sketches")
+            links = links.union(verified(C.stage(_ask_blocks(ask, group, sketches, percent).distinct(), "found")))
+    return links
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
