@@ -73,11 +73,64 @@ def test_token_store(spark, docs, empty, tmp_path):
     assert chunks.count() == chunks.select("digest").distinct().count()
     tokenstore.write_store(empty, root + "0", path, 1)
     assert tokenstore.read_back(spark, root + "0").count() == 0
-    # A damaged chunk fails the read.
-    chunks.withColumn("payload", chunks.digest).write.parquet(f"{root}1/chunks")
-    spark.read.parquet(f"{root}/recipes").write.parquet(f"{root}1/recipes")
-    with pytest.raises(Exception, match="damaged"):
-        tokenstore.read_back(spark, root + "1").collect()
+    with pytest.raises(ValueError, match="not that of the store expected"):
+        tokenstore.verify(spark, root, "0" * 64)
+
+
+def test_token_store_refuses_what_was_changed(spark, tmp_path):
+    import pyspark.sql.functions as F
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    root = f"file://{tmp_path}/store"
+    rows = [(i, f"text {i} " * (i + 1)) for i in range(12)] + [(3, "again"), (3, "again"), (None, "no id"), (None, None)]
+    made = tokenstore.write_store(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, start int, root string"), root, path, 1)
+    assert tokenstore.read_back(spark, root, made).count() == len(rows)
+    recipes, chunks, manifest = (spark.read.parquet(f"{root}/{t}") for t in ("recipes", "chunks", "manifest"))
+
+    def fails(n, match, recipes=recipes, chunks=chunks, manifest=manifest):
+        for name, df in (("recipes", recipes), ("chunks", chunks), ("manifest", manifest)):
+            df.write.parquet(f"{root}{n}/{name}")
+        with pytest.raises(Exception, match=match):
+            tokenstore.read_back(spark, f"{root}{n}", made).collect()
+
+    fails(1, "damaged", chunks=chunks.withColumn("payload", F.reverse(F.col("payload").cast("string")).cast("binary")))
+    fails(2, "differ", recipes=recipes.where("not doc_id <=> 5"))
+    fails(3, "differ", recipes=recipes.withColumn("start", F.when(F.col("doc_id") == 5, -7).otherwise(F.col("start"))))
+    swap = F.when(F.col("doc_id") == 5, 6).when(F.col("doc_id") == 6, 5).otherwise(F.col("doc_id"))
+    fails(4, "differ", recipes=recipes.withColumn("doc_id", swap))
+    fails(5, "cannot be rebuilt", chunks=chunks.limit(chunks.count() - 1))
+    half = recipes.where("doc_id < 5 or doc_id is null")
+    fails(6, "not that of the store", recipes=half, manifest=tokenstore.manifest(half))
+
+
+def test_wide_ids_are_cut_and_read(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 1 << 20, 5000).astype(np.uint32)
+    ends = tokenstore.cuts(ids, np.array([0, len(ids)]))[0]
+    shifted = np.concatenate([ids[:100], ids])
+    again = tokenstore.cuts(shifted, np.array([0, len(shifted)]))[0]
+    assert len(set(e + 100 for e in ends) & set(again)) > 3
+    b = ids.tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(b, digest_size=16).digest()]), pa.array([len(ids)]), pa.array([b])], names=["digest", "n", "payload"])
+    assert next(tokenstore._facts(iter([batch]))).column("crc").to_pylist() == [zlib.crc32(ids.astype("<u4").tobytes())]
+
+
+def test_encoder_takes_its_shortcut_only_with_known_parts(tmp_path):
+    import json
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    spec = json.loads(open(path).read())
+    spec["normalizer"]["normalizers"].insert(0, {"type": "NFD"})
+    spec["normalizer"]["normalizers"].insert(1, {"type": "StripAccents"})
+    del spec["normalizer"]["normalizers"][2]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    enc = tokenstore.WordEncoder(str(other))
+    assert not enc.plain and tokenstore.WordEncoder(path).plain
+    texts = ["Été à Ñandú", "ÀB cd."]
+    ids, offs = enc.encode(pa.array(texts), None)
+    for t, a, b in zip(texts, offs[:-1], offs[1:], strict=True):
+        assert ids[a:b].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
 def test_bulk_encoding_equals_the_library():
@@ -263,6 +316,55 @@ def test_near_dedup_of_a_large_group_with_outliers(spark, monkeypatch):
     assert 1 < len({root(i) for i in sets}) < 90
 
 
+def test_near_dedup_recall_and_odd_rows(spark):
+    """All pairs near the threshold, with null and repeated doc_ids, repeated rows and a crowd of exact copies."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(25):
+        base = [f"{g}w{i}" for i in range(60)]
+        rows += [(10 * g + m, " ".join(f"x{g}{m}{i}" if rng.random() < 0.012 else w for i, w in enumerate(base))) for m in range(6)]
+    rows += [(1000 + i, "the same text of several words in all of these") for i in range(120)] + [(7, rows[3][1]), (7, rows[3][1]), (None, rows[0][1]), (None, None)]
+    sets = [near_dedup.shingle_set(t or "", 5) for _, t in rows]
+    ids = [i for i, _ in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if ids[a] is not None and ids[b] is not None and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                links += sets[a] != sets[b]
+                up[root(a)] = root(b)
+    assert links > 20
+    least = {}
+    for x, i in enumerate(ids):
+        if i is not None:
+            least[root(x)] = min(i, least.get(root(x), i))
+    want = sorted(((i, len(sets[x]), least[root(x)] if i is not None else None, i is None or least[root(x)] == i) for x, i in enumerate(ids)), key=str)
+    got = near_dedup.near_duplicates(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, id int, part int"), 5)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_shingles_are_distinct_by_words():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "b", "c"], int(rng.integers(0, 60)))) for _ in range(40)]
+    for k in (1, 2, 3, 5, 7):
+        h, at = near_dedup.shingles(*near_dedup.C.split_words(pa.array(texts)), k)
+        for t, s, e in zip(texts, at[:-1], at[1:], strict=True):
+            assert e - s == len(set(h[s:e])) == len(near_dedup.shingle_set(t, k))
+
+
+def test_components_of_hot_and_long_graphs(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(200, 400)] + [(500, 501), (501, 500), (7, 7)]
+    got = {r.node: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(101, 161)}, **{i: 1 for i in range(200, 400)}, 501: 500}
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_one_doc_id_with_two_texts(spark):
     import corpus_pipeline as cp
 
@@ -347,7 +449,11 @@ def test_line_crf(spark, empty):
     rows = [(i, good() if i % 3 else bad(), int(bool(i % 3))) for i in range(300)]
     df = spark.createDataFrame([*((i, t) for i, t, _ in rows), (900, None), (901, ""), (902, "x" * 50000 + "\n" * 3000)], "doc_id long, text string")
     labels = spark.createDataFrame([*((i, q) for i, _, q in rows), (None, 1), (5, None)], "doc_id long, quality int")
+    df = df.selectExpr("*", "1 as quality", "'x' as key", "2 as n_lines")
     crf = line_crf.train(df, labels)
+    # Repeated rows are learned from once.
+    twice = line_crf.train(df.union(df), labels)
+    assert np.array_equal(twice.weights, crf.weights)
     got = {r.doc_id: r for r in line_crf.score(df, crf).collect()}
     assert len(got) == 303 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
@@ -359,11 +465,46 @@ def test_line_crf(spark, empty):
     assert abs(line_crf.score(df, line_crf.train(df, labels.where("false"))).first().score - 0.5) < 1e-9
 
 
+def test_crf_labels_lines_of_mixed_documents(spark):
+    rng = np.random.default_rng(8)
+    good = lambda: " ".join(rng.choice(["calm", "river", "of", "the", "stones", "and", "light"], 12)).capitalize() + "."
+    bad = lambda: " ".join(w + rng.choice(["%%%", "$$$", "###"]) for w in rng.choice(["buy", "now", "cheap", "deal"], 12))
+    texts, labels, truth = [], [], []
+    for i in range(400):
+        lines = [i % 2 == 0 or j < int(rng.integers(0, 3)) for j in range(int(rng.integers(3, 9)))]
+        texts.append("\n".join(good() if g else bad() for g in lines)), labels.append(i % 2 == 0), truth.append(lines)
+    feats, size, offs = line_crf.line_features(pa.array(texts))
+    crf = line_crf.fit(feats, offs, np.array(labels), size)
+    p, _, _ = crf.lines(pa.array(texts))
+    want = np.array([x for t in truth for x in t])
+    assert ((p >= 0.5) == want).mean() > 0.97 and any(any(t) for t, good_doc in zip(truth, labels, strict=True) if not good_doc)
+    assert ((crf.scores(pa.array(texts)) >= 0.7) == np.array(labels)).mean() > 0.95
+    df = spark.createDataFrame([(1, texts[1]), (1, texts[1]), (None, None)], "doc_id long, text string")
+    rows = line_crf.line_labels(df, crf).collect()
+    assert len(rows) == 2 * len(truth[1]) + 1 and sum(r.good for r in rows if r.doc_id == 1) == 2 * sum(truth[1])
+
+
+def test_crf_of_very_long_texts():
+    import time
+
+    crf = line_crf.Crf([], np.zeros((3, 0)), 0.3, np.array([[1.0, -1.0], [-1.0, 1.0]]))
+    rng = np.random.default_rng(1)
+    sizes = np.concatenate([[100_000], rng.integers(1, 300, 1000)])
+    offs, start = np.concatenate([[0], np.cumsum(sizes)]), time.time()
+    odds = rng.normal(size=offs[-1])
+    p = crf.marginals(odds, offs)
+    assert time.time() - start < 30 and np.isfinite(p).all() and 0 <= p.min() and p.max() <= 1
+    alone = crf.marginals(odds[: sizes[0]], offs[:2])
+    assert np.allclose(p[: sizes[0]], alone)
+    feats, _, offs = line_crf.line_features(pa.array(["\n" * 100_000, "a"]))
+    assert offs.tolist() == [0, 100_001, 100_002] and len(crf.codes(feats)) == 100_002
+
+
 def test_crf_marginals_against_all_labellings():
     import itertools
 
     rng = np.random.default_rng(7)
-    crf = line_crf.Crf([], np.zeros(1), rng.normal(size=(2, 2)))
+    crf = line_crf.Crf([], np.zeros((3, 0)), 0.0, rng.normal(size=(2, 2)))
     sizes = [1, 3, 6]
     odds, offs = rng.normal(size=10), np.array([0, 1, 4, 10])
     p, logz, pairs = crf.marginals(odds, offs, True)
@@ -391,9 +532,39 @@ def test_secrets(spark, docs, empty):
         assert set(s[2] for s in spans) <= set(got[i].spans.split(","))
     kinds = lambda i: [s.split(":")[0] for s in got[i].spans.split(",") if s]
     assert kinds(3) == ["access", "secret", "endpoint"] and kinds(4) == [] and kinds(5) == ["hex"] and kinds(6) == ["ident", "hex"] and kinds(9) == ["ident", "secret", "ident"]
+    at = lambda kind, i: next(s for s in got[i].spans.split(",") if s.startswith(kind))
+    links = lambda i: [x for x in got[i].links.split(",") if x]
+    assert links(3) == [f"{at('access', 3)}>{at('secret', 3)}", f"{at('secret', 3)}>{at('endpoint', 3)}", f"{at('endpoint', 3)}>{at('secret', 3)}"]
+    assert links(4) == links(5) == [] and links(6) == [f"{at('ident', 6)}>{at('hex', 6)}", f"{at('hex', 6)}>{at('ident', 6)}"]
+    rows = {(r.doc_id, r.kind, r.start): (r.other_kind, r.other_start, r.other_stop) for r in secrets.links(df).collect()}
+    assert len(rows) == sum(len(links(i)) for i in got) and all(f"{k}:{s}:" in got[i].links and f">{o}:{a}:{b}" in got[i].links for (i, k, s), (o, a, b) in rows.items())
+    # An endpoint completes a secret where no identifier does.
+    two = spark.createDataFrame([(1, f"https://api.example.com/v1 {long}"), (2, long), (2, long)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_linked) for r in secrets.report(two).collect()) == [(1, 2), (2, 0), (2, 0)]
     assert secrets.report(empty).count() == 0 and secrets.report(docs).count() == len(DOCS)
 
 
+def test_secret_links_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    parts = ["AKIA" + "Z9" * 8, "0123456789abcdef" * 2, "Qq7+" * 10, "user: someone", "https://h.example.org", "token=abcdefgh1", "-" * 90, "é" * 60]
+    texts = [" ".join(rng.choice(parts, int(rng.integers(2, 14)))) for _ in range(60)]
+    got = {r.doc_id: r for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 100).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted((m.start(), m.end(), n, k) for n, (k, (p, g, least, *_)) in enumerate(secrets.KINDS.items()) for m in re.finditer(p.replace(r"\x20", " "), t) if len(m[g]) >= least)
+        role = lambda s: secrets.KINDS[s[3]][3]
+        base = [s for s in spans if secrets.KINDS[s[3]][4]]
+        want, said = [], []
+        for j, s in enumerate(spans):
+            ok = lambda o, s=s: role(o) in secrets._NEEDS[role(s)]
+            near = [(max(0, s[0] - o[1]), 0, -o[1], -o[0], -o[2], o) for o in spans[:j] if ok(o)] + [(max(0, o[0] - s[1]), 1, o[0], o[1], o[2], o) for o in spans[j + 1 :] if ok(o)]
+            best = min(near)[-1] if near and min(near)[0] <= 100 else None
+            if s in base or best and not any(o[0] < s[1] and s[0] < o[1] for o in base):
+                said.append(f"{s[3]}:{s[0]}:{s[1]}")
+                if best:
+                    want.append(f"{said[-1]}>{best[3]}:{best[0]}:{best[1]}")
+        assert got[i].spans.split(",") == (said or [""]) and got[i].links.split(",") == (want or [""])
+
+
 def test_url_filters(spark):
     import datetime as dt
 
