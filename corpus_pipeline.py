@@ -36,10 +36,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one; documents left without a word go."""
-    # The whole row goes along as one column, so no column of it meets a name of the operator's.
-    out = line_dedup.dedup_documents(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    # The rest of the row goes along as one column, so no column of it meets a name of the operator's.
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = line_dedup.dedup_documents(docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("row")))
     out = out.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    row = {c: F.col("row")[c] for c in docs.columns}
+    row = {c: F.col(c) if c in ("doc_id", "text") else F.col("row")[c] for c in docs.columns}
     cols = dict(row) | {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(row["text"])}
     if "n_chars" in row:  # goes with the text where a text was changed
         cols["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
