@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,24 @@ def line(order: list[str], *ordinates: str, names: str = "xy") -> Column:
     return F.transform(rows, lambda r: F.struct(*[r[f"_{n}"].alias(n) for n in names]))
 
 
+def build(df: DataFrame, t: G.GeometryType, by: list[str], parts: list[str], order: list[str], *ordinates: str, name: str = "geometry") -> DataFrame:
+    """Geometries of type ``t`` from rows of vertices: one for each group ``by``.
+
+    ``parts`` name the levels within it, from the outside (for a polygon its rings, for a multipolygon polygons and rings); parts are in
+    the order of their values, vertices in that of ``order``.  Each level is one aggregation by what is left of the keys.
+    """
+    if t.serialized or t.geometry == G.BOX or len(parts) != max(0, G.DEPTH[t.geometry] - 1):
+        raise ValueError(f"{t} is not built from {len(parts)} levels of parts")
+    if len(ordinates) != len(G.DIM_NAMES[t.dims]):
+        raise ValueError(f"Expected {len(G.DIM_NAMES[t.dims])} ordinates")
+    made = df.groupBy(*by, *parts).agg(line(order, *ordinates, names=G.DIM_NAMES[t.dims]).alias("_g"))
+    for k in range(len(parts), 0, -1):
+        made = made.groupBy(*by, *parts[: k - 1]).agg(F.array_sort(F.collect_list(F.struct(parts[k - 1], "_g")))["_g"].alias("_g"))
+    if t.geometry == G.POINT:
+        made = made.withColumn("_g", F.when(F.size("_g") <= 1, F.get("_g", F.lit(0))).otherwise(F.raise_error(F.lit("a point has one vertex")).cast(t.with_coords(G.SEPARATE).spark_type())))
+    return made.select(*by, cast_coords("_g", t.with_coords(G.SEPARATE), t.coords).alias(name, metadata=t.field_metadata()))
+
+
 def coords(c, t: G.GeometryType) -> Column:
     """All coordinates of a geometry as one array."""
     c = _col(c)
@@ -85,14 +103,37 @@ def box_agg(b, dims: int = G.XY) -> Column:
     return F.struct(*[side(n, s).alias(n + s) for s in ("min", "max") for n in G.DIM_NAMES[dims]])
 
 
-def box_to_polygon(b) -> Column:
-    """Closed ring of five vertices; no ring where a minimum is above its maximum."""
+def box_to_polygon(b, t: G.GeometryType | None = None) -> Column:
+    """Closed ring of five vertices; no ring where a minimum is above its maximum.  A box of other dimensions than XY is refused."""
+    if t is not None and (t.geometry != G.BOX or t.dims != G.XY):
+        raise ValueError("only XY boxes are polygons")
     b = _col(b)
     p = lambda x, y: F.struct(b[x].alias("x"), b[y].alias("y"))
     ring = F.array(p("xmin", "ymin"), p("xmax", "ymin"), p("xmax", "ymax"), p("xmin", "ymax"), p("xmin", "ymin"))
     return F.when(b.isNotNull(), F.when((b["xmin"] > b["xmax"]) | (b["ymin"] > b["ymax"]), F.array().cast("array<array<struct<x:double,y:double>>>")).otherwise(F.array(ring)))
 
 
+def empty_box(dims: int = G.XY) -> Column:
+    """The box of nothing: from infinity to minus infinity in each dimension."""
+    return F.struct(*[F.lit(INF if s == "min" else -INF).alias(n + s) for s in ("min", "max") for n in G.DIM_NAMES[dims]])
+
+
+def box_side(b, t: G.GeometryType, side: str) -> Column:
+    """xmin, ymin, zmin, mmin, xmax, .. of a box; infinity, or minus infinity, in a dimension it lacks."""
+    if side[:-3] not in tuple("xyzm") or side[-3:] not in ("min", "max"):
+        raise ValueError(f"a box has no side {side!r}")
+    b = _col(b)
+    return b[side] if side[0] in G.DIM_NAMES[t.dims] else F.when(b.isNotNull(), F.lit(INF if side.endswith("min") else -INF))
+
+
+def is_empty_box(b, t: G.GeometryType) -> Column:
+    """Whether a minimum is above its maximum in any dimension the box has."""
+    b, empty = _col(b), F.lit(False)
+    for n in G.DIM_NAMES[t.dims]:
+        empty = empty | (b[n + "min"] > b[n + "max"])
+    return empty
+
+
 def lower_bound(b, dims: int = G.XY) -> Column:
     return F.struct(*[_col(b)[n + "min"].alias(n) for n in G.DIM_NAMES[dims]])
 
@@ -148,9 +189,15 @@ def _edge_type(t: G.GeometryType) -> T.ArrayType:
 
 
 def slice_coords(c, offset: int, length: int) -> Column:
+    """Items ``offset`` to ``offset + length`` of the outermost level: vertices of a line, rings, lines or polygons of the others."""
     return F.slice(_col(c), offset + 1, length)
 
 
+def slice_rows(df: DataFrame, order: list[str], offset: int, length: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + length`` in the order of ``order``: the slice of a whole column."""
+    return df.orderBy(*order).offset(offset).limit(length)
+
+
 def _map_coords(c: Column, depth: int, fn) -> Column:
     return fn(c) if depth == 0 else F.transform(c, lambda x: _map_coords(x, depth - 1, fn))
 
@@ -184,12 +231,6 @@ def check_interleaved(c, t: G.GeometryType) -> Column:
     return F.when(F.forall(coords(c, t), lambda p: F.size(p) == n) | c.isNull(), c).otherwise(F.raise_error(F.lit(f"Expected {n} ordinates")).cast(t.spark_type()))
 
 
-def widen(c, t: G.GeometryType) -> Column:
-    """A simple type as its multi type (point, line, polygon), or the same."""
-    c = _col(c)
-    return c if t.multi() == t else F.when(c.isNotNull(), F.array(c))
-
-
 def mean_coord(c, t: G.GeometryType) -> Column:
     """Aggregate over exploded vertices is avg(); this is the unweighted mean of one geometry's own coordinates."""
     n = F.size(coords(c, t))

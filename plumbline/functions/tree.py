@@ -7,6 +7,7 @@ trees.  Only the serialized boundary uses these; native layouts stay with Spark'
 from __future__ import annotations
 
 import math
+import re
 import struct
 from decimal import ROUND_HALF_EVEN, Context, Decimal
 
@@ -45,7 +46,8 @@ def format_double(v: float, precision: int = 16) -> str:
     if abs(v) > 1e17:
         return repr(v)
     if v == int(v):
-        return str(int(v))
+        # The shortest digits, padded with zeros: not every digit of the integer.
+        return format(Decimal(repr(v)), "f").removesuffix(".0") if v else "0"
     text = repr(v)
     point = text.find(".")
     if "e" in text or len(text) - point - 1 > precision:
@@ -60,6 +62,8 @@ def format_double(v: float, precision: int = 16) -> str:
 # ---- text ----------------------------------------------------------------------------------------------------------
 
 _SPACE, _END_OF_NUMBER = " \t\r\n", " \t\r\n,)("
+#: Numbers without anything that float() takes and the format does not (signs before a number, underscores, other digits).
+_PLAIN = re.compile(r"[0-9.,eE \t\r\n-]+\Z").match
 
 
 class _Text:
@@ -109,6 +113,21 @@ class _Text:
             out.append(self.number())
         return tuple(out)
 
+    def coords(self, n: int) -> list:
+        """A list of coordinates; one of plain numbers is read at once, any other step by step, to say where it goes wrong."""
+        if self.peek() == "(":
+            end = self.t.find(")", self.i)
+            part = self.t[self.i + 1 : end]
+            if end > 0 and _PLAIN(part):
+                try:
+                    out = [tuple(map(float, c.split())) for c in part.split(",")]
+                except ValueError:
+                    out = []
+                if out and all(len(c) == n for c in out):
+                    self.i = end + 1
+                    return out
+        return self.listed(lambda: self.coord(n))
+
     def listed(self, item) -> list:
         """Nothing for EMPTY, else at least one item in parentheses."""
         if self.word() == "EMPTY":
@@ -148,7 +167,7 @@ class _Text:
 
     def body(self, g: int, d: int, depth: int) -> list:
         n = N_ORD[d]
-        coords = lambda: self.listed(lambda: self.coord(n))
+        coords = lambda: self.coords(n)
         if g == POINT:
             out = coords()
             if len(out) > 1:
@@ -159,6 +178,9 @@ class _Text:
         if g == POLYGON:
             return self.listed(coords)
         if g == MULTIPOINT:
+            self.skip()
+            if self.t[self.i : self.i + 1] == "(" and (flat_end := self.t.find(")", self.i)) > 0 and _PLAIN(self.t[self.i + 1 : flat_end]):
+                return [(POINT, d, [c]) for c in coords()]
             flat = lambda: (POINT, d, coords() if self.peek() == "(" or self.word() == "EMPTY" else [self.coord(n)])
             return self.listed(flat)
         if g == GEOMETRYCOLLECTION:
@@ -349,7 +371,7 @@ def cast_strict(tree: Tree, to: int, dims: int) -> list | tuple:
         return coords[0] if coords else (math.nan,) * N_ORD[dims]
     own = lambda t: [cast_coord(c, t[1], dims) for c in t[2]]
     rings = lambda t: [[cast_coord(c, t[1], dims) for c in r] for r in t[2]]
-    if not any(True for _ in coords_of(tree)) and not items:
+    if not any(True for _ in coords_of(tree)):  # whatever is empty fits everywhere
         return []
     simple, payload = {LINESTRING: (LINESTRING, own), MULTIPOINT: (POINT, own), POLYGON: (POLYGON, rings), MULTILINESTRING: (LINESTRING, own), MULTIPOLYGON: (POLYGON, rings)}[to]
     multi = next(k for k, v in _MEMBER.items() if v == simple)
@@ -374,27 +396,25 @@ def from_native(value, geometry: int, dims: int) -> Tree:
     return geometry, dims, [(_MEMBER[geometry], dims, x) for x in value]
 
 
-def nodes_of(tree: Tree, level: int = 0) -> list[dict]:
+def nodes_of(tree: Tree, level: int = 0) -> list[tuple[int, int, int, int, list]]:
     """Depth-first nodes: level, geometry, dims, size and coordinates (as x, y, z, m) of each; rings are lines."""
     g, d, items = tree
-    full = lambda cs: [dict(zip("xyzm", cast_coord(c, d, XYZM), strict=True)) for c in cs]
     if g in (POINT, LINESTRING):
-        return [{"level": level, "gtype": g, "dims": d, "size": len(items), "coords": full(items)}]
-    out = [{"level": level, "gtype": g, "dims": d, "size": len(items), "coords": []}]
+        return [(level, g, d, len(items), [cast_coord(c, d, XYZM) for c in items])]
+    out = [(level, g, d, len(items), [])]
     for x in items:
-        out += [{"level": level + 1, "gtype": LINESTRING, "dims": d, "size": len(x), "coords": full(x)}] if g == POLYGON else nodes_of(x, level + 1)
+        out += [(level + 1, LINESTRING, d, len(x), [cast_coord(c, d, XYZM) for c in x])] if g == POLYGON else nodes_of(x, level + 1)
     return out
 
 
-def from_nodes(nodes: list[dict]) -> Tree:
+def from_nodes(nodes: list[tuple]) -> Tree:
     it = iter(nodes)
 
     def one() -> Tree:
-        n = next(it)
-        g, d = n["gtype"], n["dims"]
+        _, g, d, size, coords = next(it)
         if g in (POINT, LINESTRING):
-            return g, d, [cast_coord(tuple(c[k] for k in "xyzm"), XYZM, d) for c in n["coords"]]
-        kids = [one() for _ in range(n["size"])]
+            return g, d, [cast_coord(tuple(c), XYZM, d) for c in coords]
+        kids = [one() for _ in range(size)]
         return g, d, [k[2] for k in kids] if g == POLYGON else kids
 
     out = one()

@@ -125,7 +125,7 @@ _RING = "'POLYGON ((' || concat_ws(', ', {0} || ' ' || {1}, {2} || ' ' || {1}, {
 
 @_query(f"with {_BOXES} select l_orderkey, {_RING} as wkt, hex(ST_AsWKB(({_RING})::GEOMETRY)) as wkb from b")
 def q_polygon_wkt_wkb(spark, d):
-    rings = lines(spark, d).select("l_orderkey", native.box_to_polygon(native.box("g", LINE)).alias("p"))
+    rings = lines(spark, d).select("l_orderkey", native.box_to_polygon(native.box("g", LINE), G.GeometryType.make(G.BOX)).alias("p"))
     return rings.select("l_orderkey", kernels.as_wkt("p", POLYGON).alias("wkt"), F.hex(kernels.as_wkb("p", POLYGON)).alias("wkb"))
 
 
@@ -315,13 +315,13 @@ def q_mean_coord(spark, d):
 # ---- casts ---------------------------------------------------------------------------------------------------------------
 
 
-@_query("select l_orderkey, count(*) as n, sum(l_tax) > -1 as z_kept, count(*) as m_nan, count(*) as z_nan_back from lineitem group by l_orderkey")
+@_query(f"with {_ROWS} select l_orderkey, i - 1 as i, l_quantity as ax, l_extendedprice as ay, l_tax as az, true as am_nan, l_quantity as bx, l_extendedprice as by, true as bz_nan from v")
 def q_dims_cast(spark, d):
     """XYZ to XYZM (M is NaN) and XYM to XYZ (Z is NaN, M goes)."""
     z, m = G.GeometryType.make(G.LINESTRING, G.XYZ), G.GeometryType.make(G.LINESTRING, G.XYM)
     made = lines_zm(spark, d).select("l_orderkey", native.cast_dims(native.cast_dims("g", LINE_ZM, G.XYZ), z, G.XYZM).alias("a"), native.cast_dims(native.cast_dims("g", LINE_ZM, G.XYM), m, G.XYZ).alias("b"))
-    nans = lambda c: F.size(F.filter(c, F.isnan)).cast("long")
-    return made.select("l_orderkey", F.size("a").cast("long").alias("n"), F.forall("a.z", lambda v: ~F.isnan(v)).alias("z_kept"), nans("a.m").alias("m_nan"), nans("b.z").alias("z_nan_back"))
+    each = made.select("l_orderkey", F.posexplode(F.arrays_zip("a", "b")).alias("i", "c"))
+    return each.select("l_orderkey", F.col("i").cast("long").alias("i"), *[F.col(f"c.a.{n}").alias(f"a{n}") for n in "xyz"], F.isnan("c.a.m").alias("am_nan"), *[F.col(f"c.b.{n}").alias(f"b{n}") for n in "xy"], F.isnan("c.b.z").alias("bz_nan"))
 
 
 @_query(f"with {_ROWS} select l_orderkey, i - 1 as i, l_quantity as x, l_extendedprice as y from v")
@@ -334,20 +334,129 @@ def q_coord_type(spark, d):
 
 _CAST_SIZES = """select o_orderkey, case o_orderkey % 6 when 0 then 1 when 1 then 2 when 2 then 0 when 4 then 1 end as multipoint, case o_orderkey % 6 when 3 then 'Can''t convert feature with >1 sequence to LINESTRING' end as multipoint_error,
   case o_orderkey % 6 when 5 then null when 1 then 1 when 3 then 2 else 0 end as multilinestring, case o_orderkey % 6 when 5 then null when 1 then 1 when 3 then 2 else 0 end as multipolygon,
+  case when o_orderkey % 6 in (0, 1, 4) then o_orderkey when o_orderkey % 6 = 2 then 0 end::double as multipoint_x, case o_orderkey % 6 when 0 then 10 when 1 then 5 when 2 then 0 when 4 then 2 end::double as multipoint_y,
+  case o_orderkey % 6 when 5 then null when 1 then o_orderkey when 3 then o_orderkey + 9 else 0 end::double as multilinestring_x, case o_orderkey % 6 when 5 then null when 1 then 5 when 3 then 10 else 0 end::double as multipolygon_y,
+  case when o_orderkey % 6 in (0, 4) then o_orderkey end::double as point_x,
   case o_orderkey % 6 when 1 then 'Can''t convert feature with >1 coordinate to POINT' when 3 then 'Can''t convert feature with >1 coordinate to POINT' end as point_error from orders"""
 
 
+def _total(coords, name: str):
+    return F.aggregate(coords, F.lit(0.0), lambda a, p: a + p[name])
+
+
 @_query(_CAST_SIZES)
 def q_cast_lenient(spark, d):
-    g = F.col("wkt")
-    made = mixed(spark, d).select("o_orderkey", codec.try_convert(g, WKT, MULTIPOINT).alias("mp"), codec.convert(g, WKT, MULTILINE).alias("ml"), codec.convert(g, WKT, MULTIPOLYGON).alias("mo"), codec.try_convert(g, WKT, POINT).alias("p"))
+    """The text is read once for four targets; the coordinates are compared by their sums."""
+    made = mixed(spark, d).select("o_orderkey", codec.try_convert_all(F.col("wkt"), WKT, {"mp": MULTIPOINT, "ml": MULTILINE, "mo": MULTIPOLYGON, "p": POINT}).alias("c"))
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("int")
-    return made.select("o_orderkey", size("mp.value").alias("multipoint"), F.col("mp.error").alias("multipoint_error"), size("ml").alias("multilinestring"), size("mo").alias("multipolygon"), F.col("p.error").alias("point_error"))
+    mp, ml, mo, p = (F.col(f"c.{k}.value") for k in ("mp", "ml", "mo", "p"))
+    return made.select(
+        "o_orderkey", size("c.mp.value").alias("multipoint"), F.col("c.mp.error").alias("multipoint_error"), size("c.ml.value").alias("multilinestring"), size("c.mo.value").alias("multipolygon"),
+        _total(mp, "x").alias("multipoint_x"), _total(mp, "y").alias("multipoint_y"), _total(F.flatten(ml), "x").alias("multilinestring_x"), _total(F.flatten(F.flatten(mo)), "y").alias("multipolygon_y"),
+        F.when(~F.isnan(p["x"]), p["x"]).alias("point_x"), F.col("c.p.error").alias("point_error"),
+    )
 
 
-@_query("""select o_orderkey, case o_orderkey % 6 when 1 then 2 when 2 then 0 end as line, case o_orderkey % 6 when 0 then 'Can''t append POINT to array of type LINESTRING' when 3 then 'Can''t append MULTIPOLYGON to array of type LINESTRING' when 4 then 'Can''t append GEOMETRYCOLLECTION to array of type LINESTRING' end as line_error,
+@_query("""select o_orderkey, case o_orderkey % 6 when 1 then 2 when 2 then 0 end as line, case o_orderkey % 6 when 1 then o_orderkey when 2 then 0 end::double as line_x, case o_orderkey % 6 when 0 then 'Can''t append POINT to array of type LINESTRING' when 3 then 'Can''t append MULTIPOLYGON to array of type LINESTRING' when 4 then 'Can''t append GEOMETRYCOLLECTION to array of type LINESTRING' end as line_error,
   case o_orderkey % 6 when 0 then 'Can''t append POINT to array of type POLYGON' when 1 then 'Can''t append LINESTRING to array of type POLYGON' when 3 then 'Can''t append MULTIPOLYGON with size >1 to array of type POLYGON' when 4 then 'Can''t append GEOMETRYCOLLECTION to array of type POLYGON' end as polygon_error from orders""")
 def q_cast_strict(spark, d):
-    g = F.col("wkt")
-    made = mixed(spark, d).select("o_orderkey", codec.try_convert(g, WKT, LINE, strict=True).alias("l"), codec.try_convert(g, WKT, POLYGON, strict=True).alias("p"))
-    return made.select("o_orderkey", F.when(F.col("l.value").isNotNull(), F.size("l.value")).cast("int").alias("line"), F.col("l.error").alias("line_error"), F.col("p.error").alias("polygon_error"))
+    made = mixed(spark, d).select("o_orderkey", codec.try_convert_all(F.col("wkt"), WKT, {"l": LINE, "p": POLYGON}, strict=True).alias("c"))
+    line = F.col("c.l.value")
+    return made.select("o_orderkey", F.when(line.isNotNull(), F.size(line)).cast("int").alias("line"), _total(line, "x").alias("line_x"), F.col("c.l.error").alias("line_error"), F.col("c.p.error").alias("polygon_error"))
+
+
+# ---- the same on text and binary columns, builders, SQL ------------------------------------------------------------------------
+
+
+@_query(ORACLES["q_vertices"])
+def q_wkb_vertices(spark, d):
+    made = lines(spark, d).select("l_orderkey", kernels.as_wkb("g", LINE).alias("w")).select("l_orderkey", kernels.vertices("w", WKB).alias("i", "p"))
+    return made.select("l_orderkey", F.col("i").cast("long").alias("i"), "p.x", "p.y")
+
+
+@_query(ORACLES["q_edges"])
+def q_wkb_edges(spark, d):
+    made = lines(spark, d).select("l_orderkey", kernels.as_wkb("g", LINE).alias("w")).select("l_orderkey", F.explode(kernels.edges("w", WKB)).alias("e"))
+    return made.select("l_orderkey", *[F.col(f"e.{s}.{n}").alias(n + k) for s, k in (("start", "0"), ("end", "1")) for n in "xy"])
+
+
+@_query("""select o_orderkey, case o_orderkey % 6 when 0 then 1 when 1 then 2 when 2 then 2 when 3 then 6 when 4 then 7 end as geometry, case o_orderkey % 6 when 1 then 2 when 2 then 3 when 5 then null else 1 end as dims,
+  case when o_orderkey % 6 in (0, 1, 2) then 1 when o_orderkey % 6 <> 5 then 0 end as sequences, case o_orderkey % 6 when 3 then 2 when 4 then 1 when 5 then null else 0 end as geometries,
+  case o_orderkey % 6 when 0 then 1 when 1 then 2 when 2 then 0 end as first_size, case o_orderkey % 6 when 0 then 1 when 1 then 2 when 2 then 0 when 3 then 8 when 4 then 1 end as coords from orders""")
+def q_structure(spark, d):
+    made = mixed(spark, d).select("o_orderkey", kernels.structure("wkt", WKT).alias("s"), kernels.sequence_size("wkt", WKT, 0).alias("first_size"), kernels.num_coords("wkt", WKT).alias("coords"))
+    return made.select("o_orderkey", "s.geometry", "s.dims", F.col("s.num_sequences").alias("sequences"), F.col("s.num_geometries").alias("geometries"), "first_size", "coords")
+
+
+@_query("select c_custkey, c_custkey as srid, 1.0::double as x, 2.0::double as y from customer")
+def q_srid(spark, d):
+    """Big-endian points with an SRID each."""
+    raw = F.unhex(F.concat(F.lit("0020000001"), F.lpad(F.hex("c_custkey"), 8, "0"), F.lit("3FF00000000000004000000000000000")))
+    made = _t(spark, d, "customer").select("c_custkey", raw.alias("w")).select("c_custkey", kernels.structure("w", WKB)["srid"].alias("srid"), kernels.mean_coord("w", WKB).alias("c"))
+    return made.select("c_custkey", "srid", "c.x", "c.y")
+
+
+@_query(ORACLES["q_bounds_xyzm"])
+def q_bounds_xyzm_wkb(spark, d):
+    made = lines_zm(spark, d).select("l_orderkey", kernels.as_wkb("g", LINE_ZM).alias("w")).select("l_orderkey", kernels.box("w", WKB, G.XYZM).alias("b"))
+    return made.select("l_orderkey", *_sides(names=[n + s for s in ("min", "max") for n in "xyzm"]))
+
+
+@_query("select l_orderkey, min(l_quantity) as xmin, 'inf'::double as zmin, '-inf'::double as mmax, false as is_empty from lineitem group by l_orderkey")
+def q_box_sides(spark, d):
+    box = G.GeometryType.make(G.BOX)
+    made = lines(spark, d).select("l_orderkey", kernels.box("g", LINE).alias("b"))
+    return made.select("l_orderkey", *[native.box_side("b", box, s).alias(s) for s in ("xmin", "zmin", "mmax")], native.is_empty_box("b", box).alias("is_empty"))
+
+
+_BUILT = f"with {_BOXES}, {_PER_CUSTOMER} select o_custkey, '%s (' || string_agg(body, ', ' order by o_orderkey) || ')' as wkt from o group by o_custkey"
+
+
+def _items(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return _t(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+@_query(_BUILT % "MULTILINESTRING")
+def q_build_multilinestring(spark, d):
+    made = native.build(_items(spark, d), MULTILINE, ["o_custkey"], ["o_orderkey"], _ORDER, "l_quantity", "l_extendedprice")
+    return made.select("o_custkey", kernels.as_wkt("geometry", MULTILINE).alias("wkt"))
+
+
+@_query(_BUILT % "POLYGON")
+def q_build_polygon(spark, d):
+    made = native.build(_items(spark, d), POLYGON.with_coords(G.INTERLEAVED), ["o_custkey"], ["o_orderkey"], _ORDER, "l_quantity", "l_extendedprice")
+    return made.select("o_custkey", kernels.as_wkt("geometry", POLYGON.with_coords(G.INTERLEAVED)).alias("wkt"))
+
+
+@_query(f"""with {_BOXES}, {_PER_CUSTOMER}, p as (select o_custkey, o_orderkey % 3 as part, '(' || string_agg(body, ', ' order by o_orderkey) || ')' as rings from o group by all)
+  select o_custkey, 'MULTIPOLYGON (' || string_agg(rings, ', ' order by part) || ')' as wkt from p group by o_custkey""")
+def q_build_multipolygon(spark, d):
+    made = native.build(_items(spark, d).withColumn("part", F.col("o_orderkey") % 3), MULTIPOLYGON, ["o_custkey"], ["part", "o_orderkey"], _ORDER, "l_quantity", "l_extendedprice")
+    return made.select("o_custkey", kernels.as_wkt("geometry", MULTIPOLYGON).alias("wkt"))
+
+
+@_query(_GROUPED)
+def q_sql_box_agg(spark, d):
+    kernels.register_all(spark)
+    lines(spark, d).select("l_orderkey", kernels.as_wkb("g", LINE).alias("w")).createOrReplaceTempView("plumbline_lines")
+    return kernels.sql(spark, "select k, b.xmin, b.ymin, b.xmax, b.ymax from (select l_orderkey % 10 as k, geo_wkb_box_agg(w) as b from plumbline_lines group by 1)")
+
+
+@_query(f"with {_MIXED} select o_orderkey, case when wkt is not null then left(wkt, 12) end as head, case o_orderkey % 6 when 0 then 1 when 1 then 1002 when 3 then 6 when 4 then 7 end as code, case when o_orderkey % 6 <> 5 then true end as valid, case o_orderkey % 6 when 0 then 'MULTIPOINT (' || o_orderkey || ' 10)' when 4 then 'MULTIPOINT (' || o_orderkey || ' 2)' end as points from m")
+def q_sql_kernels(spark, d):
+    kernels.register_all(spark)
+    mixed(spark, d).createOrReplaceTempView("plumbline_mixed")
+    return kernels.sql(spark, "select o_orderkey, geo_wkt_format(wkt, 16, 12) as head, geo_wkt_type_code(wkt) as code, geo_wkt_valid(wkt) as valid, geo_wkt_as_type(case when o_orderkey % 6 in (0, 4) then wkt end, 4) as points from plumbline_mixed")
+
+
+@_query(f"with {_MIXED}, c as (select distinct case o_orderkey % 6 when 0 then 1 when 1 then 1002 when 3 then 6 when 4 then 7 end as code from m) select list_sort(list(code)) as codes, null::int as valid, null::int as nothing from c where code is not null")
+def q_sql_aggregates(spark, d):
+    kernels.register_all(spark)
+    mixed(spark, d).createOrReplaceTempView("plumbline_mixed")
+    return kernels.sql(spark, "select geo_wkt_unique_geometry_types_agg(wkt) as codes, geo_wkt_visit_void_agg(wkt) as valid, geo_void_agg(wkt) as nothing from plumbline_mixed")
+
+
+@_query("select c_custkey from customer order by c_custkey limit 20 offset 10")
+def q_slice_rows(spark, d):
+    return native.slice_rows(points(spark, d), ["c_custkey"], 10, 20).select("c_custkey")

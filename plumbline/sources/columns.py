@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import types as G
 from ..operators import kernels
@@ -57,9 +59,38 @@ def arrow_type(t: G.GeometryType) -> pa.DataType:
     return out
 
 
+def _as_storage(col: pa.Array, to: pa.DataType) -> pa.Array:
+    """``col`` with the names, widths and nullability of ``to``: the same buffers, level by level."""
+    mask = col.is_null() if col.null_count else None
+    if isinstance(to, pa.StructType):
+        # Ordinates below a null are null too; the storage type has none such.
+        return pa.StructArray.from_arrays([col.field(k).fill_null(float("nan")) for k in range(to.num_fields)], fields=list(to), mask=mask)
+    if isinstance(to, pa.FixedSizeListType):
+        # A null has no ordinates here and as many as any other there.
+        if mask is not None:
+            col = col.fill_null([float("nan")] * to.list_size)
+        flat = col.flatten()
+        if len(flat) != to.list_size * len(col):
+            raise ValueError(f"Expected {to.list_size} ordinates")
+        return pa.FixedSizeListArray.from_arrays(flat, type=to, mask=mask)
+    if isinstance(to, pa.ListType):
+        offs = col.offsets
+        first = offs[0].as_py()
+        values = _as_storage(col.values.slice(first, offs[-1].as_py() - first), to.value_type)
+        return pa.ListArray.from_arrays(pc.subtract(offs, pa.scalar(first, pa.int32())), values, type=to, mask=mask)
+    return col.cast(to)
+
+
+def _nullable(t: T.DataType) -> T.DataType:
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in t.fields])
+    return T.ArrayType(_nullable(t.elementType)) if isinstance(t, T.ArrayType) else t
+
+
 def to_arrow(df: DataFrame, extension_prefix: str) -> pa.Table:
     """All rows as an Arrow table whose geometry fields carry extension name (prefix + name) and metadata."""
-    table = df.toArrow()
+    # Spark's own export takes no null above a field that may not be null.
+    table = df.select(*[F.col(f.name).cast(_nullable(f.dataType)).alias(f.name) if G.TYPE_KEY in f.metadata else F.col(f.name) for f in df.schema.fields]).toArrow()
     fields, cols = [], []
     for f in df.schema.fields:
         col = table[f.name]
@@ -67,7 +98,7 @@ def to_arrow(df: DataFrame, extension_prefix: str) -> pa.Table:
             t = G.GeometryType.of(f)
             meta = {"ARROW:extension:name": extension_prefix + t.name, "ARROW:extension:metadata": t.metadata.serialize()}
             fields.append(pa.field(f.name, arrow_type(t), True, meta))
-            cols.append(pa.chunked_array([pa.array(col.to_pylist(), arrow_type(t))]))
+            cols.append(pa.chunked_array([_as_storage(pa.concat_arrays([c]), arrow_type(t)) for c in col.chunks], arrow_type(t)))
         else:
             fields.append(table.schema.field(f.name))
             cols.append(col)
@@ -96,7 +127,7 @@ def from_arrow(spark: SparkSession, table: pa.Table, extension_prefix: str) -> D
             if fixed and spelt not in G.DIM_NAMES.values():
                 spelt = {2: "xy", 3: "xyz", 4: "xyzm"}[inner.list_size]
             if geometry == G.BOX:
-                spelt = "".join(x.name[0] for x in inner)[: len(inner) // 2]
+                spelt = "".join(x.name[0] for x in list(inner)[: inner.num_fields // 2])
             dims = next((d for d, n in G.DIM_NAMES.items() if n == spelt), None)
             if dims is None:
                 raise ValueError(f"Expected dimensions xy, xyz, xym or xyzm but found '{spelt}'")

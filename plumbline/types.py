@@ -7,7 +7,7 @@ say (line or multipoint, Z or M, coordinate reference system, edges) is JSON in
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
 
@@ -51,47 +51,118 @@ def all_type_ids() -> list[int]:
     return sorted([*native, *(type_id(BOX, d) for d in DIM_NAMES), *TEXT, *BINARY])
 
 
+#: Longitude and latitude on WGS 84, as the registry that all implementations share spells it in PROJJSON.
+LON_LAT = {
+    "type": "GeographicCRS",
+    "name": "WGS 84 (CRS84)",
+    "datum_ensemble": {
+        "name": "World Geodetic System 1984 ensemble",
+        "members": [
+            {"name": "World Geodetic System 1984 (Transit)", "id": {"authority": "EPSG", "code": 1166}},
+            {"name": "World Geodetic System 1984 (G730)", "id": {"authority": "EPSG", "code": 1152}},
+            {"name": "World Geodetic System 1984 (G873)", "id": {"authority": "EPSG", "code": 1153}},
+            {"name": "World Geodetic System 1984 (G1150)", "id": {"authority": "EPSG", "code": 1154}},
+            {"name": "World Geodetic System 1984 (G1674)", "id": {"authority": "EPSG", "code": 1155}},
+            {"name": "World Geodetic System 1984 (G1762)", "id": {"authority": "EPSG", "code": 1156}},
+            {"name": "World Geodetic System 1984 (G2139)", "id": {"authority": "EPSG", "code": 1309}},
+        ],
+        "ellipsoid": {"name": "WGS 84", "semi_major_axis": 6378137, "inverse_flattening": 298.257223563},
+        "accuracy": "2.0",
+        "id": {"authority": "EPSG", "code": 6326},
+    },
+    "coordinate_system": {
+        "subtype": "ellipsoidal",
+        "axis": [
+            {"name": "Geodetic longitude", "abbreviation": "Lon", "direction": "east", "unit": "degree"},
+            {"name": "Geodetic latitude", "abbreviation": "Lat", "direction": "north", "unit": "degree"},
+        ],
+    },
+    "scope": "Not known.",
+    "area": "World.",
+    "bbox": {"south_latitude": -90, "west_longitude": -180, "north_latitude": 90, "east_longitude": 180},
+    "id": {"authority": "OGC", "code": "CRS84"},
+}
+_BLANK = " \t\r\n"
+
+
+def _members(text: str) -> list[tuple[str, object, str]]:
+    """(key, value, the value's own text) of each member of a JSON object, in order."""
+    decoder, out, i = json.JSONDecoder(), [], 0
+    bad = ValueError(f"Expected valid JSON metadata but got '{text}'")
+
+    def blank(i: int) -> int:
+        while i < len(text) and text[i] in _BLANK:
+            i += 1
+        return i
+
+    def mark(i: int, marks: str) -> tuple[str, int]:
+        i = blank(i)
+        if text[i : i + 1] not in tuple(marks):
+            raise bad
+        return text[i], blank(i + 1)
+
+    _, i = mark(i, "{")
+    after = "}" if text[i : i + 1] == "}" else ","
+    if after == "}":
+        i += 1
+    while after == ",":
+        try:
+            key, i = decoder.raw_decode(text, i)
+            _, i = mark(i, ":")
+            value, end = decoder.raw_decode(text, i)
+        except ValueError:
+            raise bad from None
+        if not isinstance(key, str):
+            raise bad
+        out.append((key, value, text[i:end]))
+        after, i = mark(end, ",}")
+    if rest := text[blank(i) :]:
+        raise ValueError(f"Expected JSON object with no trailing characters but found trailing '{rest}'")
+    return out
+
+
 @dataclass(frozen=True)
 class Metadata:
-    """Edges and coordinate reference system. ``crs`` is a parsed JSON object, a string, or None."""
+    """Edges and coordinate reference system. ``crs`` is a parsed JSON object, a string, or None; ``crs_text`` is its JSON as it was read."""
 
     edges: str = "planar"
     crs: object = None
     crs_type: str = "none"
+    crs_text: str | None = field(default=None, compare=False)
 
     @staticmethod
     def parse(text: str | None) -> Metadata:
+        """Keys but edges, crs and crs_type are passed over; no value may be a number or a boolean."""
         if not text:
             return Metadata()
-        try:
-            raw = json.loads(text)
-        except ValueError:
-            raw = None
-        if not isinstance(raw, dict):
-            raise ValueError(f"Expected valid JSON metadata but got '{text}'")
+        members = _members(text)
+        for _, value, said in members:
+            if isinstance(value, (bool, int, float)):
+                raise ValueError(f"Expected valid JSON metadata but got '{text}': {said} is no string, object, list or null")
+        raw, texts = {k: v for k, v, _ in members}, {k: said for k, _, said in members}
         edges, crs, kind = raw.get("edges"), raw.get("crs"), raw.get("crs_type")
         if edges is not None and edges not in EDGE_TYPES:
             raise ValueError(f"Unsupported value for edges: {edges!r}")
         if crs is not None and not isinstance(crs, (dict, str)):
             raise ValueError("Unsupported type for crs")
-        if kind is not None and not isinstance(kind, str):
+        if "crs_type" in raw and not isinstance(kind, str):
             raise ValueError("Unsupported type for crs_type")
         kind = "none" if crs is None else kind if kind in CRS_TYPES else "unknown"
-        return Metadata(edges or "planar", crs, kind)
+        return Metadata(edges or "planar", crs, kind, texts["crs"] if crs is not None else None)
 
     def serialize(self) -> str:
-        out: dict = {}
+        out = []
         if self.edges != "planar":
-            out["edges"] = self.edges
+            out.append(f'"edges":{json.dumps(self.edges)}')
         if self.crs_type not in ("none", "unknown"):
-            out["crs_type"] = self.crs_type
+            out.append(f'"crs_type":{json.dumps(self.crs_type)}')
         if self.crs is not None:
-            out["crs"] = self.crs
-        return json.dumps(out, separators=(",", ":"), ensure_ascii=False)
+            out.append(f'"crs":{self.crs_text or json.dumps(self.crs, separators=(",", ":"), ensure_ascii=False)}')
+        return "{" + ",".join(out) + "}"
 
     @staticmethod
     def lon_lat() -> Metadata:
-        return Metadata(crs="OGC:CRS84", crs_type="authority_code")
+        return Metadata(crs=LON_LAT, crs_type="projjson")
 
 
 @dataclass(frozen=True)
@@ -139,7 +210,7 @@ class GeometryType:
         return replace(self, metadata=replace(self.metadata, edges=edges))
 
     def with_crs(self, crs, crs_type: str = "unknown") -> GeometryType:
-        return replace(self, metadata=replace(self.metadata, crs=crs, crs_type="none" if crs is None else crs_type))
+        return replace(self, metadata=replace(self.metadata, crs=crs, crs_type="none" if crs is None else crs_type, crs_text=None))
 
     def with_crs_lon_lat(self) -> GeometryType:
         return replace(self, metadata=replace(Metadata.lon_lat(), edges=self.metadata.edges))

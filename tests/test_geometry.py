@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import types as G
 from plumbline.functions import codec, native
@@ -40,7 +41,11 @@ def test_binary_round_trip(text):
 
 @pytest.mark.parametrize(
     "text, message",
-    [("POINT A", "Expected '(' or 'EMPTY' at byte 6"), ("POINT Z A", "Expected '(' or 'EMPTY' at byte 8"), ("POINT ZA", "Expected '(' or 'EMPTY' at byte 6"), ("POINT (0)", "Expected whitespace at byte 8"), ("POINT (0 )", "Expected number at byte 9"), ("POINT (0 1) shouldbetheend", "Expected end of input at byte 12")],
+    [
+        ("CURVE (7 8)", "Expected geometry type at byte 0"), ("POINT M [7 8 9]", "Expected '(' or 'EMPTY' at byte 8"), ("POLYGON ((7 8, 9 9), x)", "Expected '(' or 'EMPTY' at byte 21"),
+        ("LINESTRING (7 8, 9)", "Expected whitespace at byte 18"), ("LINESTRING (7 8,, 9 9)", "Expected number at byte 16"), ("MULTIPOINT ((7 8), (9 +1))", "Expected number at byte 22"),
+        ("LINESTRING (7 8, 9 9", "Expected ')' at byte 20"), ("MULTIPOINT (7 8, 9 9) 5", "Expected end of input at byte 22"), ("LINESTRING (7 8_0, 9 9)", "Expected number at byte 14"), ("POINT (7 8 9)", "Expected ',' or ')' at byte 11"),
+    ],
 )
 def test_text_errors(text, message):
     with pytest.raises(tr.GeometryError) as e:
@@ -54,7 +59,7 @@ def test_big_endian_and_srid():
     assert tr.parse_wkb(raw) == ((G.POINT, G.XYZ, [(1.0, 2.0, 3.0)]), 199)
 
 
-@pytest.mark.parametrize("v, p, said", [(1e17, 16, "100000000000000000"), (1.7976931348623157e308, 16, "1.7976931348623157e+308"), (123.456, 3, "123.456"), (-234.567, 4, "-234.567"), (3.155, 2, "3.16"), (-0.0, 16, "0"), (-0.04, 1, "0"), (math.nan, 16, "nan"), (-math.inf, 16, "-Infinity"), (1e-17, 16, "0"), (1e16, 3, "10000000000000000")])
+@pytest.mark.parametrize("v, p, said", [(1e17, 16, "100000000000000000"), (1.7976931348623157e308, 16, "1.7976931348623157e+308"), (817.25, 2, "817.25"), (-56.0625, 5, "-56.0625"), (2.675, 2, "2.68"), (2.0**53, 16, "9007199254740992"), (2.0**56, 16, "72057594037927940"), (-(2.0**56) - 64, 3, "-72057594037928000"), (9.999999999999998e16, 16, "99999999999999980"), (2.0**60, 16, "1.152921504606847e+18"), (-0.0, 16, "0"), (-0.04, 1, "0"), (math.nan, 16, "nan"), (-math.inf, 16, "-Infinity"), (1e-17, 16, "0"), (1e16, 3, "10000000000000000")])
 def test_doubles(v, p, said):
     assert tr.format_double(v, p) == said
 
@@ -90,9 +95,19 @@ def test_types():
     assert G.Metadata.parse(t.metadata.serialize()) == t.metadata
     assert json.loads(t.metadata.serialize()) == {"edges": "spherical", "crs_type": "authority_code", "crs": "EPSG:4326"}
     assert t.multi().simple() == t
-    for bad in ("[", "{", '{"edges": {}}', '{"crs": []}', '{"crs_type": true}', '{} abc'):
+    for bad in ("[", "{", '{"edges": {}}', '{"crs": []}', '{"crs_type": true}', '{"crs_type": null}', '{} abc', '{"foo": 1}', '{"foo": false}', '{"a": "b",}', '{"a" "b"}', "{1: 2}"):
         with pytest.raises(ValueError):
             G.Metadata.parse(bad)
+    with pytest.raises(ValueError, match="trailing ' *abc'"):
+        G.Metadata.parse("{} abc")
+    # A CRS comes back letter for letter, other keys are passed over.
+    said = '{"note": [1, {"a": 2}], "crs" : { "id":\t{"code" : 4326.0}, "name": "\\u00e9" } , "edges":"karney"}'
+    kept = '{"edges":"karney","crs":{ "id":\t{"code" : 4326.0}, "name": "\\u00e9" }}'
+    assert G.Metadata.parse(said).serialize() == kept and G.Metadata.parse(kept).serialize() == kept
+    assert G.Metadata.parse('{"crs": "EPSG:\\u0034"}').serialize() == '{"crs":"EPSG:\\u0034"}'
+    assert G.Metadata.parse('{"crs": null, "crs_type": "srid"}') == G.Metadata()
+    lon_lat = json.loads(LINE.with_crs_lon_lat().metadata.serialize())
+    assert lon_lat["crs_type"] == "projjson" and lon_lat["crs"]["id"] == {"authority": "OGC", "code": "CRS84"} and len(json.dumps(lon_lat["crs"], separators=(",", ":"))) == 1255
     with pytest.raises(ValueError, match="non-planar"):
         native.box("g", t)
 
@@ -109,17 +124,141 @@ def test_boxes(spark):
 
 
 def test_unique_types_and_formats(spark):
-    rows = ["POINT (30 10)", "POINT (0 1)", "LINESTRING Z (1 2 3, 4 5 6)", "LINESTRING M EMPTY", "MULTIPOLYGON M (((0 0 1, 1 0 2, 0 1 3, 0 0 1)))", "GEOMETRYCOLLECTION ZM (POINT ZM (1 2 3 4))", None]
+    rows = [None, "POLYGON M ((8 8 1, 9 8 1, 9 9 1, 8 8 1))", "POINT Z (5 6 7)", "POINT Z (8 6 7)", "MULTIPOINT EMPTY", "MULTIPOINT (4 4)", "GEOMETRYCOLLECTION Z (LINESTRING Z (6 6 6, 7 7 7))"]
     df = spark.createDataFrame([(r,) for r in rows], "t string")
-    assert df.agg(kernels.unique_geometry_types_agg("t", WKT).alias("c")).first().c == [1, 1002, 2006, 3007]
-    df = spark.createDataFrame([("LINESTRING (30.1234 10, 0 0)",), ("POINT (31.1234 11)",), (None,)], "t string")
-    assert [r[0] for r in df.select(kernels.format_wkt("t", WKT, 3, 16)).collect()] == ["LINESTRING (30.1", "POINT (31.123 11", None]
+    assert df.agg(kernels.unique_geometry_types_agg("t", WKT).alias("c")).first().c == [4, 1001, 1007, 2003]
+    df = spark.createDataFrame([("MULTIPOINT (8.0625 77, 5 6)",), (None,), ("POINT (47.98765 3)",)], "t string")
+    assert [r[0] for r in df.select(kernels.format_wkt("t", WKT, 2, 15)).collect()] == ["MULTIPOINT (8.0", None, "POINT (47.99 3)"]
     with pytest.raises(Exception, match="Expected number"):
         spark.createDataFrame([("POINT (0 )",)], "t string").agg(kernels.visit_void_agg("t", WKT)).collect()
     with pytest.raises(NotImplementedError):
         kernels.kernel("nothing")
 
 
+def _values(t, rng):
+    k = tr.N_ORD[t.dims]
+    point = lambda: tuple(round(rng.uniform(-900, 900), rng.randint(0, 3)) for _ in range(k))
+    value = lambda depth: point() if depth == 0 else [value(depth - 1) for _ in range(rng.randint(0, 4))]
+    return [None if rng.random() < 0.1 else value(G.DEPTH[t.geometry]) for _ in range(40)]
+
+
+@pytest.mark.parametrize("coords", [G.SEPARATE, G.INTERLEAVED])
+def test_batches_are_written_as_trees_are(coords):
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rng = random.Random(5)
+    for dims in G.DIM_NAMES:
+        for g in G.DEPTH:
+            t = G.GeometryType.make(g, dims, coords)
+            vals = _values(t, rng)
+            names = G.DIM_NAMES[dims] if coords == G.SEPARATE else None
+            arr = pa.array([None, *(None if v is None else codec._untuple(v, G.DEPTH[g], names) for v in vals)], to_arrow_type(t.spark_type())).slice(1)
+            trees = [None if v is None else tr.from_native(v, g, dims) for v in vals]
+            for flat in (True, False):
+                assert codec._native_to_wkt(t, 16, flat)(arr).to_pylist() == [x and tr.format_wkt(x, 16, flat) for x in trees]
+            raw = codec._native_to_wkb(t)(arr)
+            assert raw.to_pylist() == [x and tr.format_wkb(x) for x in trees]
+            assert codec._wkb_to_wkt(2, True)(raw).to_pylist() == [x and tr.format_wkt(x, 2) for x in trees]
+            assert len(codec._native_to_wkb(t)(arr.slice(0, 0))) == len(codec._native_to_wkt(t, 16, True)(arr.slice(0, 0))) == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats() | st.integers(-(10**18), 10**18).map(float) | st.integers(-(10**9), 10**9).map(lambda i: i / 1000), max_size=30), st.integers(0, 16))
+def test_doubles_in_batches(values, precision):
+    import numpy as np
+
+    assert codec.format_doubles(np.array(values, float), precision).to_pylist() == [tr.format_double(v, precision) for v in values]
+
+
+def test_reading_plain_lists_at_once_changes_nothing():
+    for text in ("LINESTRING (1 2,3 4 , 5e3  -6)", "LINESTRING (1e+2 2, nan 4)", "MULTIPOINT ( 1 2 , 3 4)", "MULTIPOINT ((1 2), 3 4, EMPTY)", "POLYGON ((1 2, 3 4),EMPTY, (5 6, 7 8))", "POINT ( 1 2 )"):
+        quick, plain = tr.parse_wkt(text), tr._PLAIN
+        try:
+            tr._PLAIN = lambda part: None
+            assert repr(tr.parse_wkt(text)) == repr(quick)
+        finally:
+            tr._PLAIN = plain
+
+
+def test_bounds_of_mixed_batches(spark):
+    rows = [(1, "POINT (7 -8)"), (2, None), (3, "LINESTRING Z (1 2 3, 4 5 -6)"), (4, "POLYGON M ((0 0 9, 1 0 8, 1 1 7, 0 0 9))"), (5, "LINESTRING EMPTY"), (6, "POINT EMPTY"), (7, "GEOMETRYCOLLECTION (POINT (3 4), LINESTRING (nan 1, 2 nan))"), (8, "MULTIPOINT ZM (1 2 3 4, 5 6 7 8)")]
+    df = spark.createDataFrame(rows, "id int, t string").coalesce(1).withColumn("w", kernels.as_wkb("t", WKT))
+    inf = math.inf
+    want = {1: (7, -8, inf, inf, 7, -8, -inf, -inf), 2: None, 3: (1, 2, -6, inf, 4, 5, 3, -inf), 4: (0, 0, inf, 7, 1, 1, -inf, 9), 5: (inf,) * 4 + (-inf,) * 4, 6: (inf,) * 4 + (-inf,) * 4, 7: (2, 1, inf, inf, 3, 4, -inf, -inf), 8: (1, 2, 3, 4, 5, 6, 7, 8)}
+    for c, t in (("t", WKT), ("w", WKB)):
+        assert {r.id: r.b and tuple(r.b) for r in df.select("id", kernels.box(c, t, G.XYZM).alias("b")).collect()} == want
+        assert tuple(df.agg(kernels.box_agg(c, t, G.XYZM).alias("b")).first().b) == (0, -8, -6, 4, 7, 6, 7, 9)
+
+
+def test_parts_of_text_and_binary(spark):
+    rows = [(1, "POINT (7 8)"), (2, None), (3, "LINESTRING Z (1 2 3, 4 5 6, 7 8 9)"), (4, "POLYGON ((0 0, 2 0, 1 1, 0 0), EMPTY)"), (5, "GEOMETRYCOLLECTION (MULTIPOINT (3 4, 5 6), POINT EMPTY)"), (6, "LINESTRING (1 1)")]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("w", kernels.as_wkb("t", WKT))
+    for c, t in (("t", WKT), ("w", WKB)):
+        made = df.where("id <> 5 or length(t) > 0").select("id", kernels.structure(c, t).alias("s"), kernels.sequence_size(c, t, 0).alias("s0"), kernels.sequence_size(c, t, 1).alias("s1"), kernels.members(c, t).alias("m"), kernels.num_coords(c, t).alias("n"), kernels.edges(c, t).alias("e"), kernels.mean_coord(c, t).alias("mean"))
+        got = {r.id: r for r in made.collect()}
+        none_is_nan = 1 if t == WKB else 0  # an empty point in binary is one of NaN
+        assert {i: r.s and tuple(r.s) for i, r in got.items()} == {1: (1, 1, None, 1, 0), 2: None, 3: (2, 2, None, 1, 0), 4: (3, 1, None, 2, 0), 5: (7, 1, None, 0, 2), 6: (2, 1, None, 1, 0)}
+        assert [(got[i].s0, got[i].s1, got[i].n) for i in (1, 3, 4, 5, 6)] == [(1, None, 1), (3, None, 3), (4, 0, 4), (None, None, 2 + none_is_nan), (1, None, 1)] and got[2].n is None
+        assert [tuple(m) for m in got[5].m] == [(4, 1, 2), (1, 1, none_is_nan)] and got[4].m == []
+        assert [((a.x, a.y), (b.x, b.y)) for a, b in got[3].e] == [((1, 2), (4, 5)), ((4, 5), (7, 8))] and len(got[1].e) == 1 and repr(got[1].e[0].start) == repr(got[1].e[0].end) and len(got[4].e) == 3 and got[6].e == []
+        assert (got[3].mean.x, got[3].mean.z, got[6].mean.y) == (4, 6, 1)
+        vs = df.where("id = 4").select("id", kernels.vertices(c, t).alias("i", "p")).collect()
+        assert [(r.i, r.p.x, r.p.y) for r in vs] == [(0, 0, 0), (1, 2, 0), (2, 1, 1), (3, 0, 0)]
+
+
+def test_builders_and_box_sides(spark):
+    rows = [(1, 0, 1, 0, 5.0, 6.0), (1, 0, 1, 1, 7.0, 6.0), (1, 0, 0, 0, 1.0, 2.0), (1, 1, 0, 0, 3.0, 4.0), (2, 0, 0, 0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "g int, p int, r int, i int, x double, y double")
+    for coords in (G.SEPARATE, G.INTERLEAVED):
+        t = G.GeometryType.make(G.MULTIPOLYGON, G.XY, coords)
+        got = {r.g: r.t for r in native.build(df, t, ["g"], ["p", "r"], ["i"], "x", "y").select("g", kernels.as_wkt("geometry", t).alias("t")).collect()}
+        assert got == {1: "MULTIPOLYGON (((1 2), (5 6, 7 6)), ((3 4)))", 2: "MULTIPOLYGON (((9 9)))"}
+    one = native.build(df.where("g = 2"), G.GeometryType.make(G.POINT), ["g"], [], ["i"], "x", "y")
+    assert columns.geometry_type(one, "geometry").geometry == G.POINT and tuple(one.first().geometry) == (9, 9)
+    with pytest.raises(Exception, match="one vertex"):
+        native.build(df, G.GeometryType.make(G.POINT), ["g"], [], ["i"], "x", "y").collect()
+    with pytest.raises(ValueError):
+        native.build(df, LINE, ["g"], ["p"], ["i"], "x", "y")
+    m = G.GeometryType.make(G.BOX, G.XYM)
+    b = spark.range(1).select(native.empty_box(G.XYM).alias("e"), native.empty_box(G.XYM).withField("xmin", F.lit(1.0)).withField("xmax", F.lit(2.0)).alias("h"))
+    r = b.select(native.is_empty_box("e", m), native.box_side("h", m, "xmin"), native.box_side("h", m, "zmin"), native.box_side("h", m, "zmax"), native.box_side("h", m, "mmax"), native.is_empty_box("h", m)).first()
+    assert tuple(r) == (True, 1.0, math.inf, -math.inf, -math.inf, True)
+    sliced = spark.range(9).select("id", F.sequence(F.lit(0), F.col("id")).alias("s"))
+    assert [r.id for r in native.slice_rows(sliced, ["id"], 3, 2).collect()] == [3, 4] and sliced.where("id = 8").select(native.slice_coords("s", 2, 3).alias("x")).first().x == [2, 3, 4]
+
+
+def test_arrow_round_trip_of_all_types(spark):
+    import random
+
+    rng = random.Random(3)
+    for i in G.all_type_ids():
+        t = G.GeometryType(i).with_crs("EPSG:9999")
+        if t.serialized:
+            if i not in (G.WKT, G.WKB):
+                continue
+            vals = ["POINT (1 2)", None] if i == G.WKT else [b"\1", None]
+        elif t.geometry == G.BOX:
+            vals = [{n + s: rng.random() for s in ("min", "max") for n in G.DIM_NAMES[t.dims]}, None]
+        else:
+            names = G.DIM_NAMES[t.dims] if t.coords == G.SEPARATE else None
+            vals = [None if v is None else codec._untuple(v, G.DEPTH[t.geometry], names) for v in _values(t, rng)[:8]]
+        df = columns.with_type(spark.createDataFrame([(v,) for v in vals], T.StructType([T.StructField("g", t.spark_type())])).coalesce(1), "g", t)
+        table = columns.to_arrow(df, "geo.")
+        assert table.schema.field("g").type == columns.arrow_type(t) and table["g"].null_count == vals.count(None)
+        back = columns.from_arrow(spark, table, "geo.")
+        assert columns.geometry_type(back, "g").id == t.id and columns.geometry_type(back, "g").metadata == t.metadata
+        assert str(back.collect()) == str(df.collect())
+
+
+def test_whatever_is_empty_fits_everywhere():
+    for text in ("POLYGON (EMPTY, EMPTY)", "MULTIPOLYGON (EMPTY)", "MULTILINESTRING (EMPTY, EMPTY)", "GEOMETRYCOLLECTION (POINT EMPTY)"):
+        for to in (G.LINESTRING, G.MULTIPOINT, G.POLYGON, G.MULTILINESTRING, G.MULTIPOLYGON):
+            assert tr.cast_strict(tr.parse_wkt(text), to, G.XY) == []
+
+
 def test_metadata_parquet_and_arrow(spark, tmp_path):
     t = LINE.with_crs("EPSG:4326")
     df = columns.with_type(spark.createDataFrame([(1, [(0.0, 1.0), (2.0, 3.0)]), (2, None)], "id int, g array<struct<x:double,y:double>>"), "g", t)
@@ -146,8 +285,24 @@ def test_stream(spark, tmp_path):
 
 def test_sql_functions(spark):
     kernels.register_all(spark)
-    r = spark.sql("select hex(geo_wkt_to_wkb('POINT (30 10)')) h, geo_wkt_valid('POINT (0 )') v, geo_wkb_to_wkt(geo_wkt_to_wkb('LINESTRING (1 2, 3 4)')) t").first()
-    assert r.h == "01010000000000000000003E400000000000002440" and r.v is False and r.t == "LINESTRING (1 2, 3 4)"
+    r = spark.sql("select hex(geo_wkt_to_wkb('POINT (1 2)')) h, geo_wkt_valid('POINT (0 )') v, geo_wkb_to_wkt(geo_wkt_to_wkb('LINESTRING (1 2, 3 4)')) t, geo_wkt_error('POINT (0 )') e").first()
+    assert r.h == "0101000000000000000000F03F0000000000000040" and r.v is False and r.t == "LINESTRING (1 2, 3 4)" and r.e == "Expected number at byte 9"
+    spark.createDataFrame([(1, "LINESTRING (5 -6, 7 8)"), (1, None), (2, "POINT EMPTY"), (2, "POINT (nan 4)")], "k int, t string").createOrReplaceTempView("g")
+    rows = kernels.sql(spark, "select k, GEO_wkt_box_agg(if(t = ')', null, t)) as b, geo_wkt_unique_geometry_types_agg(t) as u, geo_void_agg(t) as n, geo_wkt_visit_void_agg(t) as v from g group by k order by k").collect()
+    assert [tuple(r.b) for r in rows] == [(5, -6, 7, 8), (math.inf, 4, -math.inf, 4)] and [r.u for r in rows] == [[2], [1]] and {(r.n, r.v) for r in rows} == {(None, None)}
+    with pytest.raises(Exception, match="Expected number"):
+        kernels.sql(spark, "select geo_wkt_visit_void_agg(concat('POINT (0 )', k)) from g").collect()
+    with pytest.raises(ValueError, match="not closed"):
+        kernels.sql(spark, "select geo_wkt_box_agg(t from g")
+    r = spark.sql("select geo_wkt_format('POINT (1.256 2)', 2, 11) f, geo_wkb_as_type(geo_wkt_to_wkb('POINT (1 2)'), 4) m, geo_wkt_box(null) b").first()
+    assert r.f == "POINT (1.26" and r.m == "MULTIPOINT (1 2)" and r.b is None
+
+
+def test_overloads():
+    assert kernels.overload("structure", LINE) is None and kernels.overload("structure", WKB) is not None
+    assert kernels.overload("box", LINE.with_edges("karney")) is None and kernels.overload("edges", G.GeometryType.make(G.BOX)) is None
+    with pytest.raises(ValueError, match="only XY"):
+        native.box_to_polygon("b", G.GeometryType.make(G.BOX, G.XYZ))
 
 
 def test_every_query_matches_sql(spark):
