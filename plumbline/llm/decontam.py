@@ -12,10 +12,10 @@ text is cut into overlapping passages, each passage is a query, and all items at
 A hit counts when enough two-word shingles of both the question (all but the last sentence) and the answer (the last sentence) stand
 in the passage.  Passages are twice as long as the longest item and half overlap, so none is cut in two.
 
-An index holds at most INDEX_ITEMS items, and only such parts are sent to executors; a larger benchmark is used part by part.
+An index holds at most INDEX_ITEMS items, and at most PASS of them are sent to executors at once; a larger benchmark takes more passes.
 Statistics (items, document frequencies, mean length, longest item) are of the whole benchmark, so hits and scores do not depend on the parts.
 
-Defined cases: null or empty texts and items match nothing; items of equal text are found each; repeated documents are judged
+Defined cases: null or empty texts and items match nothing, nor do items of one word, which would be found wherever that word stands; items of equal text are found each; repeated documents are judged
 each; an empty benchmark matches nothing; other columns are kept by decontaminate() and ignored by hits().
 """
 
@@ -40,6 +40,8 @@ K1, B = 1.2, 0.75
 #: Share of its own score that an item must reach, and of each part's shingles that must be there.
 SCORE, OVERLAP = 0.6, 0.6
 BLOCK, INDEX_ITEMS, INDEX_CHARS = 8, 4096, 8_000_000
+#: Indexes that one pass over the texts asks.
+PASS = 4
 LEAST_PASSAGE = 128
 #: Marks at the ends of words do not count: all of ASCII's.
 _TRIM = string.punctuation
@@ -65,7 +67,7 @@ def pairs_of(words: list[str]) -> set:
 
 
 class Statistics(NamedTuple):
-    """Of all items with a word: how many, their words, the words of the longest, and for each word the items that hold it."""
+    """Of all items of two words or more: how many, their words, the words of the longest, and for each word the items that hold it."""
 
     items: int
     words: int
@@ -81,7 +83,7 @@ class Index:
     """Of ``items``, with the statistics of the benchmark they are a part of; without them, ``items`` are the whole of it."""
 
     def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
-        items = [(i, t) for i, t in items if words_of(t)]
+        items = [(i, t) for i, t in items if len(words_of(t)) > 1]
         self.ids = [i for i, _ in items]
         lists = [words_of(t) for _, t in items]
         whole = whole or statistics_of(lists)
@@ -192,7 +194,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(rows: DataFrame) -> Statistics:
     """Of all ``rows`` (text, not null).  The driver gets one row for each distinct word; the indexes it holds have them too."""
-    words = rows.select("text").mapInArrow(_words, "n long, words array<string>").where(F.col("n") > 0)
+    words = rows.select("text").mapInArrow(_words, "n long, words array<string>").where(F.col("n") > 1)
     n, total, longest = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     holders = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("holders")).toArrow()
     return Statistics(n, total, longest, dict(zip(*(holders.column(c).to_pylist() for c in ("word", "holders")), strict=True)))
@@ -207,15 +209,22 @@ def indexes(benchmark: DataFrame) -> list[Index]:
     return [Index([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()], whole) for i in range(parts)]
 
 
+def _passes(benchmark: DataFrame) -> list[list[Index]]:
+    """The indexes that are sent out together and asked in one pass over the texts; an empty one if there are no items."""
+    found = indexes(benchmark)
+    return [found[i : i + PASS] for i in range(0, len(found), PASS)]
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_passages, score, question_overlap, answer_overlap: one row for each document and item it holds."""
     out = None
-    for index in indexes(benchmark):
+    for group in _passes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in C.slices(whole):
-                    found = index.search(C.texts_of(b))
+                    texts = C.texts_of(b)
+                    found = [f for index in group for f in index.search(texts)]
                     cols = list(zip(*found, strict=True)) if found else [[]] * 6
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[3:])], names=["doc_id", "item_id", "n_passages", "score", "question_overlap", "answer_overlap"])
 
@@ -226,13 +235,14 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item; all columns stay, and nothing is shuffled."""
-    for index in indexes(benchmark):
+    for group in _passes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in C.slices(whole):
-                    keep = np.ones(b.num_rows, bool)
-                    keep[[f[0] for f in index.search(C.texts_of(b))]] = False
+                    keep, texts = np.ones(b.num_rows, bool), C.texts_of(b)
+                    for index in group:
+                        keep[[f[0] for f in index.search(texts)]] = False
                     yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
