@@ -15,7 +15,7 @@ proportion to their unigram probability, with weights that make each context's p
 counts are all above K frees 1 / (N + 1).  Unigrams free their own discount for one class of unknown words.  The first word's
 context is the beginning of the text; the end is a token.
 
-Defined cases: a null text is empty and has its end only; repeated rows count as often as they stand; with no training rows
+Defined cases: a null text is empty and has its end only; a row without a doc_id is learned from; repeated rows count as often as they stand; with no training rows
 every token is unknown (score 0, as the unknown class then has probability 1); an empty table gives an empty result; other
 columns are ignored.  At most 2^32 - 2 distinct words; more is an error.
 """
@@ -61,7 +61,8 @@ def stretch(raw: bytes, dtype, ascending: bool = False) -> np.ndarray:
 
 
 def held_out(doc_ids, parts: int = 7, which: int = 2) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) % parts == which for i in doc_ids], bool)
+    """A row without a doc_id is not held out."""
+    return np.array([i != _NO_ID and zlib.crc32(str(i).encode()) % parts == which for i in doc_ids], bool)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
