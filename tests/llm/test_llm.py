@@ -400,6 +400,10 @@ def test_decontamination(spark, docs, empty):
     assert [r.doc_id for r in decontam.decontaminate(df, bench).orderBy("doc_id").collect()] == [3, 4, 5]
     assert decontam.hits(docs, bench).count() == 0 and decontam.hits(empty, bench).count() == 0
     assert decontam.decontaminate(df, bench.where("false")).count() == 7
+    # An item of one word, or of marks only: too little to be found.
+    tiny = spark.createDataFrame([(1, "tower"), (2, "--"), (3, "Stone towers")], "item_id long, text string")
+    some = spark.createDataFrame([(1, "a tower of stone"), (2, "the Stone towers, there"), (None, "stone towers")], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0, r.item_id) for r in decontam.hits(some, tiny).collect())) == [(0, 3), (2, 3)]
 
 
 def test_bm25_scores_against_brute_force():
@@ -652,24 +656,149 @@ def test_katz(docs, empty):
             want = sum(math.log10(disc(c) / total[a] if (c := after.get(a, {}).get(w, 0)) else alpha.get(a, 1) * one(w)) for a, w in zip(["<s>", *t], t, strict=False))
             assert math.isclose(r.score, want, rel_tol=1e-9)
     assert katz.score(empty).count() == 0
+    # A row without a doc_id is never held out, and counts; repeated rows count as often as they stand.
+    odd = docs.sparkSession.createDataFrame([(None, "a b"), (None, None), (1, "a b"), (1, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in katz.score(odd).collect()) == [(0, False, 1, 1, 10), (0, False, 3, 3, 10), (1, False, 3, 3, 10), (1, False, 3, 3, 10)]
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-def test_pipeline_stages(spark):
+def _plain_pipeline(rows, bench):
+    """The five stages over (doc_id, text, source) in plain Python: (doc_id, n_tokens, ids, decoded) of what stays."""
+    import tiktoken
+
+    # Quality rules: base rules, then hosts by the posterior of their failure rate.
+    def fails(t):
+        w = _words(t)
+        c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        return len(w) < 50 or 100 * len({k + j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in range(3)}) > 50 * len(w)
+
+    n, f = collections.Counter(), collections.Counter()
+    for _, t, host in rows:
+        if host is not None:
+            n[host] += 1
+            f[host] += fails(t)
+    docs, bad = sum(n.values()), sum(f.values())
+    gone = set()
+    if docs:
+        mean, hosts = bad / docs, len(n)
+        spread = max(0.0, sum(n[h] * (f[h] / n[h]) ** 2 for h in n) / docs - mean**2) - mean * (1 - mean) * hosts / docs
+        rest = 1 - hosts / docs
+        weight = max(2.0, mean * (1 - mean) * rest / spread - 1) if spread > 1e-12 and rest > 0 else max(2.0, docs / hosts) if hosts > 1 else 2.0
+        for h in n:
+            rate = (f[h] + mean * weight) / (n[h] + weight)
+            if rate - 1.645 * math.sqrt(rate * (1 - rate) / (n[h] + weight + 1)) >= 0.5:
+                gone.add(h)
+    rows = [r for r in rows if not fails(r[1]) and r[2] not in gone]
+    seen = [len(rows)]
+    # Line dedup.
+    key = lambda x: _fold(x.strip(" \t\n\v\f\r"))
+    holders = collections.defaultdict(set)
+    for i, t, _ in rows:
+        for x in t.split("\n"):
+            holders[key(x)].add(i)
+    out = []
+    for i, t, host in rows:
+        kept = [x for x in t.split("\n") if len(key(x)) < 40 or len(holders[key(x)]) < 5 or i == max(holders[key(x)])]
+        if len(kept) == t.count("\n") + 1 or _words("\n".join(kept)):
+            out.append((i, "\n".join(kept), host))
+    rows = out
+    seen.append(len(rows))
+    # Near duplicates: five words, 0.8, the smallest doc_id stays.
+    sets = []
+    for _, t, _ in rows:
+        w = _words(_fold(t))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if sets[x] and sets[y] and 80 * max(len(sets[x]), len(sets[y])) <= 100 * min(len(sets[x]), len(sets[y])) and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                up[root(x)] = root(y)
+    least = {}
+    for x, r in enumerate(rows):
+        least[root(x)] = min(r[0], least.get(root(x), r[0]))
+    rows = [r for x, r in enumerate(rows) if least[root(x)] == r[0]]
+    seen.append(len(rows))
+    # Decontamination: BM25 of whole items, passages twice as long as the longest, half overlapping.
+    items = [(decontam.words_of(b), [decontam.pairs_of(p) for p in decontam.parts_of(b)]) for b in bench if len(decontam.words_of(b or "")) > 1]
+    df = collections.Counter(w for x, _ in items for w in set(x))
+    mean = sum(len(x) for x, _ in items) / max(1, len(items))
+    half = max(128, 2 * max((len(x) for x, _ in items), default=0)) // 2
+
+    def weight_of(x):
+        c = collections.Counter(x)
+        return {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w, k in c.items()}
+
+    weights = [weight_of(x) for x, _ in items]
+
+    def holds(t):
+        w = [x.lower().strip(decontam._TRIM) for x in _words(t)]
+        for at in range(0, max(1, len(w)), half):
+            part = [x for x in w[at : at + 2 * half] if x]
+            have, pairs = set(part), {*zip(part, part[1:], strict=False), *((x,) for x in part)}
+            for (_, parts), wt in zip(items, weights, strict=True):
+                if sum(v for x, v in wt.items() if x in have) >= 0.6 * sum(wt.values()) - 1e-9 and all(len(p & pairs) >= 0.6 * len(p) for p in parts):
+                    return True
+        return False
+
+    rows = [r for r in rows if not holds(r[1])]
+    seen.append(len(rows))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    said = lambda x: hashlib.sha256(x).hexdigest()
+    return sorted((i, len(ids := enc.encode_ordinary(t)), said(" ".join(map(str, ids)).encode()), said(t.encode())) for i, t, _ in rows), seen
+
+
+def _planted():
+    rng = np.random.default_rng(11)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re", "sa", "to") for b in ("ra", "ne", "li", "po", "mu", "si")]
+    text = lambda n: " ".join(rng.choice(vocab, n))
+    shared = "These terms of use stand at the end of each and every page."
+    bench = ["Which of the seven old mills still turns by the river at night? The one below the weir.", "Name the metal that the smith of the third tale melts first. It is tin.", None, ""]
+    rows = [(i, text(60 + i), f"h{i % 3}") for i in range(20)]
+    rows += [(100 + i, text(70) + "\n" + shared.upper() + " \n" + text(8), "h1") for i in range(7)]
+    near = text(120).split()
+    rows += [(200 + i, " ".join([*near[: 30 + i], "odd", *near[31 + i :]]), "h2") for i in range(4)] + [(210, rows[3][1], None), (3, rows[3][1], "h0"), (3, text(80), "h0")]
+    rows += [(300, f"{text(300)} {bench[0]} {text(90)}", "h0"), (301, f"{text(60)}\n{bench[1].upper()}", "h1"), (302, f"{text(60)} {bench[0][:30]}", "h1"), (303, f"{text(700)} {bench[1]} {text(500)}", None)]
+    rows += [(400 + i, "too short", "junk") for i in range(30)] + [(440, text(90), "junk"), (441, None, "h0"), (442, "", None), (443, "one two three " * 40, "h1"), (444, shared, None)]
+    return rows, bench
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
     import corpus_pipeline as cp
     from plumbline.llm import common
 
+    rows, bench = _planted()
+    # Extra columns with names that the operators use themselves.
+    schema = "doc_id long, text string, source string, lang string, n_chars long, kept_text string, n_dropped string, row int, key int, component_id int"
+    spark.createDataFrame([(*r, "xx", len(r[1] or ""), "given", "mine", 1, 2, 3) for r in rows], schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want, seen = _plain_pipeline(rows, bench)
+    assert len(rows) > seen[0] >= seen[1] > seen[2] > seen[3] > 20
+    with common.released():
+        got = cp.run(spark, str(tmp_path))
+        assert sorted(tuple(r) for r in got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+    # The stages but the last give the columns of documents as they were.
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    out = cp.lines(spark, cp.quality(spark, docs, ""), "")
+    assert out.columns == docs.columns and out.select("kept_text", "n_dropped", "row", "key").distinct().collect() == [("given", "mine", 1, 2)]
+    assert out.where("n_chars <> char_length(text)").count() == 0
+    # Empty tables.
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).where("false").write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_pipeline_of_the_test_tables(spark):
+    import corpus_pipeline as cp
+
     d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    rows, seen = docs, []
-    for name, fn in cp.STAGES[:-1]:
-        out = common.stage(fn(spark, rows, d), "t")
-        assert out.columns == docs.columns, name
-        assert out.select("doc_id").exceptAll(rows.select("doc_id")).count() == 0
-        seen.append(out.count())
-        rows = out
-    assert docs.count() > seen[0] >= seen[1] >= seen[2] > seen[3]
-    bench = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-    assert not any(b in r.text for r in rows.collect() for b in bench)
-    final = cp.run(spark, d)
-    assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in rows.collect())
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source").collect()]
+    want, seen = _plain_pipeline(rows, [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()])
+    assert len(rows) > seen[0] >= seen[1] > seen[2] > seen[3]
+    assert sorted(tuple(r) for r in cp.run(spark, d).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
