@@ -110,23 +110,31 @@ def join_shared(rows: DataFrame, shared: DataFrame, keys: list[str], members: st
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
-def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], by: str, members: str | None = None, how: str = "inner") -> DataFrame:
-    """``rows`` (inner or left) joined with ``other`` by ``keys``; a key with more rows than a partition's share is spread over as many tasks as it fills.
+def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, members: str | None = None) -> list[tuple]:
+    """Keys of ``rows`` with a share of 1 / partitions of all rows or more, which cannot be more than there are partitions, each with the number of tasks it fills.
 
-    ``rows`` are read twice.  ``by`` is a column of theirs that tells the rows of one key apart.  Keys with a share of 1 / partitions or
-    more, which cannot be more than there are partitions, are broadcast with the number of their tasks; rows of ``other`` with such a key
-    are repeated for each of them.  ``members`` is a column of ``other`` (one row for each key) with the number of the key's rows, if
-    these are known; else they are counted.
+    ``members`` is a column with the number of rows of a key, if ``rows`` are counted already; ``total`` is the number of all rows, if known.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_c")) if members is None else other.select(*keys, F.col(members).alias("_c"))
-    total = rows.count() if members is None else counts.agg(F.sum("_c")).first()[0] or 0
-    hot = counts.where(F.col("_c") * parts > total).select(*keys, F.ceil(F.col("_c") * F.lit(parts / max(1, total))).cast("int").alias("_n")).collect()
+    if total is None:
+        total = (rows.agg(F.sum(members)).first()[0] or 0) if members else rows.count()
+    counts = rows.select(*keys, F.col(members).alias("_c")) if members else rows.groupBy(*keys).agg(F.count("*").alias("_c"))
+    return [tuple(r) for r in counts.where(F.col("_c") * parts > total).select(*keys, F.ceil(F.col("_c") * F.lit(parts / max(1, total))).cast("int")).collect()] if total else []
+
+
+def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], by: str, how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
+    """``rows`` (inner or left) joined with ``other`` by ``keys``; a key with more rows than a partition's share is spread over as many tasks as it fills.
+
+    ``by`` is a column of ``rows`` that tells the rows of one key apart.  ``hot`` are the keys to spread, by hot_keys(); without it they are
+    looked for, and ``rows`` are read twice.  They are broadcast, and rows of ``other`` with such a key are repeated for each task of it.
+    """
+    if hot is None:
+        hot = hot_keys(rows, keys)
     if not hot:
         return rows.join(other, keys, how)
-    hot = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys, F.lit(0).alias("_n")).schema))
-    rows = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_n"), F.lit(0)).cast("int")).drop("_n")
-    other = other.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    spread = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys, F.lit(0).alias("_n")).schema))
+    rows = rows.join(spread, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_n"), F.lit(0)).cast("int")).drop("_n")
+    other = other.join(spread, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
     return rows.join(other, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -187,24 +187,25 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # Done when no node has two edges down, or one down and one up: then each component is a star around its smallest node.
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
-        if ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").isEmpty():
+        left, total = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).agg(F.count_if((F.col("down") > 1) | (F.col("down") == 1) & (F.col("up") == 1)), F.coalesce(F.sum("down"), F.lit(0))).first()
+        if not left:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         both = edges.union(edges.select("v", "u"))
         low = C.stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), "low")
-        large = C.join_spread(both, low, ["u"], "v", "degree").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = C.join_spread(both, low.drop("degree"), ["u"], "v", hot=C.hot_keys(low, ["u"], 2 * total, "degree")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         edges = C.stage(small.distinct(), "edges")
 
 
-def _labelled(df: DataFrame, labels: DataFrame, column: str, name: str, by: str) -> DataFrame:
-    """``df`` (a written table) with the label of ``column``: itself, if it has none."""
-    out = C.join_spread(df, labels.select(F.col("node").alias(column), F.col("label").alias("_label")), [column], by, how="left")
+def _labelled(df: DataFrame, labels: DataFrame, column: str, name: str, by: str, hot: list[tuple]) -> DataFrame:
+    """``df`` with the label of ``column``: itself, if it has none."""
+    out = C.join_spread(df, labels.select(F.col("node").alias(column), F.col("label").alias("_label")), [column], by, "left", hot)
     return out.withColumn(name, F.coalesce("_label", column)).drop("_label")
 
 
-def _ask_blocks(asks: DataFrame, group: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Candidate links (a, b) between askers (x, own, part, size) and members (part, y, own) of groups; ``sketches`` (id, sig, hashes) says what they hold.
+def _ask_blocks(asks: DataFrame, group: DataFrame, sketches: DataFrame, percent: int, hot: list[tuple]) -> DataFrame:
+    """Candidate links (a, b) between askers (x, own, part, size) and members (part, y, own) of groups; ``sketches`` (id, sig, hashes) says what they hold, ``hot`` are the groups to spread.
 
     ``own`` is the component a document is in already: of each block an asker gets one link for each other component at most.
     Askers and members of a group are cut into blocks of about BLOCK each; a task compares one block with another in arrays, so
@@ -212,8 +213,8 @@ def _ask_blocks(asks: DataFrame, group: DataFrame, sketches: DataFrame, percent:
     """
     by = C.stage(asks.groupBy("part", "size").agg(F.count("*").alias("n")).select("part", F.ceil(F.col("size") / BLOCK).cast("int").alias("ny"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nx")), "cells")
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = C.join_spread(asks, by, ["part"], "x").select(F.col("x").alias("id"), "own", "part", cell("x", "nx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"))
-    right = C.join_spread(group, by, ["part"], "y").select(F.col("y").alias("id"), "own", "part", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), cell("y", "ny").alias("yb"))
+    left = C.join_spread(asks, by, ["part"], "x", hot=hot).select(F.col("x").alias("id"), "own", "part", cell("x", "nx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb"))
+    right = C.join_spread(group, by, ["part"], "y", hot=hot).select(F.col("y").alias("id"), "own", "part", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), cell("y", "ny").alias("yb"))
     cols = ("part", "xb", "yb", "id", "own", "sig", "hashes")
     left, right = (t.join(sketches, "id").select(*cols).toDF(*[f"{side}_{c}" for c in cols]) for side, t in (("x", left), ("y", right)))
     least = least_matches(percent / 100)
@@ -278,35 +279,43 @@ def judge(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         some = ids.join(names, "id")
         return docs.join(some, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key", "id"]).select("id", "text")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def both_sides(pairs: DataFrame, what: DataFrame, column: str, hot_a: list[tuple], hot_b: list[tuple]) -> DataFrame:
+        """``pairs`` (a, b) with ``column`` of either side; a document in very many pairs is spread."""
+        left = C.join_spread(pairs, what.toDF("a", f"{column}_a"), ["a"], "b", hot=hot_a)
+        return C.join_spread(left, what.toDF("b", f"{column}_b"), ["b"], "a", hot=hot_b).select("a", "b", f"{column}_a", f"{column}_b")
+
+    def verified(pairs: DataFrame, hot_a: list[tuple], hot_b: list[tuple]) -> DataFrame:
         """Of ``pairs`` (a written table) those that are links, by their full sets."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         some = C.stage(texts_of(ids), "texts")
-        left = C.join_spread(pairs, some.toDF("a", "text_a"), ["a"], "b")
-        full = C.join_spread(C.stage(left, "left"), some.toDF("b", "text_b"), ["b"], "a")
-        return C.stage(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long"), "links")
+        return C.stage(both_sides(pairs, some, "text", hot_a, hot_b).mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = C.stage(pairs, "pairs")
-        left = C.join_spread(pairs, sig.toDF("a", "sig_a"), ["a"], "b")
-        near = C.join_spread(C.stage(left, "left"), sig.toDF("b", "sig_b"), ["b"], "a").select("a", "b", "sig_a", "sig_b")
-        return verified(C.stage(near.mapInArrow(_prune(percent / 100), "a long, b long"), "near"))
+    def confirmed(pairs: DataFrame, hot_a: list[tuple] | None = None, hot_b: list[tuple] | None = None) -> DataFrame:
+        if hot_a is None or hot_b is None:
+            pairs = C.stage(pairs, "pairs")
+            total = pairs.count()
+            hot_a, hot_b = (C.hot_keys(pairs, [c], total) if hot is None else hot for c, hot in (("a", hot_a), ("b", hot_b)))
+        near = C.stage(both_sides(pairs, sig, "sig", hot_a, hot_b).mapInArrow(_prune(percent / 100), "a long, b long"), "near")
+        return verified(near, hot_a, hot_b)
 
     star = C.stage(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "star")
-    links = confirmed(star.groupBy("a").agg(F.min("b").alias("b")))
+    # A document has BANDS centres at most; a centre may have very many documents.
+    centres = C.hot_keys(star, ["b"])
+    links = confirmed(star.groupBy("a").agg(F.min("b").alias("b")), [], centres)
     labels = components(links)
     # The other centres of each document, as far as they are not known to be connected.
-    across = C.stage(_labelled(star, labels, "a", "la", "b"), "across")
-    more = confirmed(_labelled(across, labels, "b", "lb", "a").where("la <> lb").select("a", "b"))
+    across = _labelled(_labelled(star, labels, "a", "la", "b", []), labels, "b", "lb", "a", centres)
+    more = confirmed(across.where("la <> lb").select("a", "b"), [], centres)
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)
     # What may still be missed joins two components that share a bucket: each member of the smaller one asks the whole larger one.
-    parts = C.stage(_labelled(members.select("band", "h", "id", "n"), labels, "id", "part", "h"), "parts")
+    buckets = C.hot_keys(shared, ["band", "h"], members="members")
+    parts = C.stage(_labelled(members.select("band", "h", "id", "n"), labels, "id", "part", "h", []), "parts")
     apart = parts.groupBy("band", "h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band", "h")
-    parts = C.stage(C.join_spread(parts, apart, ["band", "h"], "id"), "parts")
+    parts = C.stage(C.join_spread(parts, apart, ["band", "h"], "id", hot=buckets), "parts")
     if not parts.isEmpty():
-        links = links.union(_missed(parts, labels, sig, confirmed, verified, texts_of, k, percent))
+        links = links.union(_missed(parts, labels, sig, buckets, confirmed, verified, texts_of, k, percent))
         labels = components(links)
 
     group = labels.union(labels.select("label", "label").distinct()).join(classes.select(F.col("id").alias("node"), F.col("rep.doc_id").alias("rep")), "node")
@@ -320,31 +329,41 @@ def judge(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _missed(parts: DataFrame, labels: DataFrame, sig: DataFrame, confirmed, verified, texts_of, k: int, percent: int) -> DataFrame:
-    """Links between components that share a bucket: ``parts`` (band, h, id, n, part) are the members of buckets with several components."""
-    sizes = labels.groupBy(F.col("label").alias("part")).agg((F.count("*") + 1).alias("size"))
-    parts = C.stage(C.join_spread(parts, sizes, ["part"], "id", how="left").withColumn("size", F.coalesce("size", F.lit(1))), "parts")
+def _missed(parts: DataFrame, labels: DataFrame, sig: DataFrame, buckets: list[tuple], confirmed, verified, texts_of, k: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket: ``parts`` (band, h, id, n, part) are the members of buckets with several components, ``buckets`` the hot ones."""
+    sizes = C.stage(labels.groupBy(F.col("label").alias("part")).agg((F.count("*") + 1).alias("size")), "sizes")
+    # A component's rows are BANDS times its documents at most.
+    large = C.hot_keys(sizes, ["part"], members="size")
+    parts = C.stage(C.join_spread(parts, sizes, ["part"], "id", "left", large).withColumn("size", F.coalesce("size", F.lit(1))), "parts")
     heads = C.stage(parts.groupBy("band", "h", "part", "size").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi")), "heads")
     crowded = C.stage(heads.groupBy("band", "h").agg(F.count("*").alias("c")).where(F.col("c") > SMALL).select("band", "h", F.lit(True).alias("crowded")), "crowded")
-    heads = C.join_spread(heads, crowded, ["band", "h"], "part", how="left").where(F.col("crowded").isNull() | (F.col("size") > SMALL))
+    asked = C.join_spread(heads, crowded, ["band", "h"], "part", "left", buckets).where(F.col("crowded").isNull() | (F.col("size") > SMALL))
     # No two sets reach the threshold whose sizes are further apart than it.
-    asked = heads.select("band", "h", F.col("part").alias("q_part"), F.col("size").alias("q_size"), "n_lo", "n_hi")
-    asks = C.join_spread(parts, asked, ["band", "h"], "id").where((F.struct("size", "part") < F.struct("q_size", "q_part")) & (100 * F.col("n") >= percent * F.col("n_lo")) & (100 * F.col("n_hi") >= percent * F.col("n")))
+    asked = asked.select("band", "h", F.col("part").alias("q_part"), F.col("size").alias("q_size"), "n_lo", "n_hi")
+    asks = C.join_spread(parts, asked, ["band", "h"], "id", hot=buckets).where((F.struct("size", "part") < F.struct("q_size", "q_part")) & (100 * F.col("n") >= percent * F.col("n_lo")) & (100 * F.col("n_hi") >= percent * F.col("n")))
     asks = C.stage(asks.select(F.col("id").alias("x"), F.col("part").alias("own"), F.col("q_part").alias("part"), F.col("q_size").alias("size")).distinct(), "asks")
-    whole = C.stage(labels.select(F.col("label").alias("part"), F.col("node").alias("y")).union(labels.select("label", "label").distinct()), "whole")
+    wanted = C.hot_keys(asks, ["part"])
+    whole = labels.select(F.col("label").alias("part"), F.col("node").alias("y")).union(labels.select("label", "label").distinct())
     few = asks.where(F.col("size") <= SMALL)
-    pairs = few.where("size = 1").select("x", F.col("part").alias("y")).union(C.join_spread(few.where("size > 1"), whole, ["part"], "x").select("x", "y"))
+    pairs = few.where("size = 1").select("x", F.col("part").alias("y")).union(C.join_spread(few.where("size > 1"), whole, ["part"], "x", hot=wanted).select("x", "y"))
     links = confirmed(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    # In a bucket with many components the small ones are compared in blocks too, as one group.
-    crowd = C.stage(C.join_spread(parts.where(F.col("size") <= SMALL), crowded, ["band", "h"], "id").select(F.col("id").alias("x"), F.col("part").alias("own"), F.xxhash64("band", "h").alias("part")), "crowd")
-    counts = C.stage(crowd.groupBy("part").agg(F.count("*").alias("size")), "counts")
-    crowd = C.stage(C.join_spread(crowd, counts, ["part"], "x").select("x", "own", "part", "size"), "crowd")
     many = asks.where(F.col("size") > SMALL)
-    for ask, group in ((many, whole.join(many.select("part").distinct(), "part", "left_semi").select("part", "y", F.col("part").alias("own"))), (crowd, crowd.select("part", F.col("x").alias("y"), "own"))):
+    blocks = [(many, whole.join(many.select("part").distinct(), "part", "left_semi").select("part", "y", F.col("part").alias("own")), sorted({*wanted, *large}))]
+    # In a bucket with many components the small ones are compared in blocks too, as one group.
+    if not crowded.isEmpty():
+        crowd = C.stage(C.join_spread(parts.where(F.col("size") <= SMALL), crowded, ["band", "h"], "id", hot=buckets).select(F.col("id").alias("x"), F.col("part").alias("own"), F.xxhash64("band", "h").alias("part")), "crowd")
+        counts = C.stage(crowd.groupBy("part").agg(F.count("*").alias("size")), "counts")
+        crowds = C.hot_keys(counts, ["part"], members="size")
+        crowd = C.stage(C.join_spread(crowd, counts, ["part"], "x", hot=crowds).select("x", "own", "part", "size"), "crowd")
+        blocks.append((crowd, crowd.select("part", F.col("x").alias("y"), "own"), crowds))
+    for ask, group, hot in blocks:
         if not ask.isEmpty():
+            hot = list({key: (key, n) for key, n in sorted(hot)}.values())  # the most tasks that either side asks for
             ids = ask.select(F.col("x").alias("id")).union(group.select("y")).distinct()
             sketches = C.stage(texts_of(ids).mapInArrow(_hashes(k), "id long, hashes binary").join(sig, "id"), "sketches")
-            links = links.union(verified(C.stage(_ask_blocks(ask, group, sketches, percent).distinct(), "found")))
+            found = C.stage(_ask_blocks(ask, group, sketches, percent, hot).distinct(), "found")
+            total = found.count()
+            links = links.union(verified(found, C.hot_keys(found, ["a"], total), C.hot_keys(found, ["b"], total)))
     return links
 
 

@@ -55,9 +55,9 @@ def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
     rules = C.join_spread(named, entries, ["pattern"], "host").select("host", "pattern", "category", "since", "until")
     active = days.join(rules, "host").where((F.col("since") <= F.col("fetched")) & (F.col("fetched") < F.col("until")))
     last = F.max(F.struct("since", "pattern", "category", "until"))["pattern"]
-    verdicts = active.groupBy("host", "fetched").agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), last.alias("latest"), F.first("captures").alias("captures"))
+    verdicts = active.groupBy("host", "fetched").agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), last.alias("latest"))
     verdicts = C.stage(verdicts, "verdicts")
-    judged = C.join_spread(rows, verdicts, ["host", "fetched"], "page_id", "captures", "left")
+    judged = C.join_spread(rows, verdicts, ["host", "fetched"], "page_id", "left", C.hot_keys(days, ["host", "fetched"], members="captures"))
     n = F.coalesce("n_active", F.lit(0)).cast("long")
     return judged.select("page_id", "host", "fetched", n.alias("n_active"), (n > 0).alias("blocked"), F.coalesce("categories", F.lit("")).alias("categories"), "latest")
 
