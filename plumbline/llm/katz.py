@@ -1,19 +1,24 @@
-"""Language-model scores by Katz backoff over word pairs.
+"""Language-model scores by Katz backoff over word n-grams.
 
 Words are counted in blocks of documents (``CHUNK_TOKENS``): a block is written once as codes of its own sorted vocabulary,
 and all exchange is by block and bucket, in compressed sorted arrays:
 
 1. ``packed``: the blocks, bucketed by block.  2. ``unigrams``: words of all blocks by range of hash, with training counts; a
-word's place is its id.  3. ``resolved``: per block, ids and counts of its words.  4. ``pairs``: per block and bucket of the first
-word, its distinct pairs with training counts.  5. ``bigrams``: the model, by bucket of the first word.  6. Each block gets
-back the counts of its pairs and the backoff weights of its first words, and sums every document.
+word's place is its id.  3. ``resolved``: per block, ids and counts of its words.  4. For each order from 2 on, each block sends its distinct
+n-grams (context, word, training count, what the next lower order gives the word) to buckets; a bucket sums them, keeps those of training
+as the model, partitioned by bucket, and tells each block the counts of its n-grams and, of each context, the sums that its
+discounts and backoff weight are made of.  5. Each block sums every document, order by order per token.
 
-Nothing depends on how often a word or pair comes: a block sends each distinct pair once.
+Nothing depends on how often a word or n-gram comes: a block sends each distinct one once.  A context with many followers (the beginning
+of a text, a common word) is dealt to several buckets by word, as many as its known share of all tokens asks for; a block adds up what
+these say of it.
 
-Model: Good-Turing discounts for counts of 1 to K, from the counts of counts; what they free is spread over unseen words in
-proportion to their unigram probability, with weights that make each context's probabilities sum to 1; a context whose
-counts are all above K frees 1 / (N + 1).  Unigrams free their own discount for one class of unknown words.  The first word's
-context is the beginning of the text; the end is a token.
+Model: Good-Turing discounts for counts of 1 to K, from the counts of counts of each order; what they free is spread over unseen words in
+proportion to the next lower order's probability, with weights that make each context's probabilities sum to 1; a context whose
+counts are all above K frees 1 / (N + 1), one that training lacks leaves all to the lower order.  Unigrams free their own discount for
+one class of unknown words.  What comes before a text is its beginning, as often as the order needs; the end is a token.
+
+``ORDER`` is the order that op9 uses; score() takes 1 to 3, since a context of two 32-bit ids is still one exact number.
 
 Defined cases: a null text is empty and has its end only; a row without a doc_id is learned from; repeated rows count as often as they stand; with no training rows
 every token is unknown (score 0, as the unknown class then has probability 1); an empty table gives an empty result; other
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CHUNK_TOKENS = 2_000_000
-K = 5
+K, ORDER = 5, 2
 #: What stands for a null doc_id in blocks.
 _NO_ID = -(2**63)
 #: The end of a text, as a word's hash; and the beginning, as a first word's id.
@@ -142,82 +147,190 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
 
 _NR = [(f"n{r}", pa.int64()) for r in range(1, K + 2)]
 _NR_SQL = "".join(f", n{r} long" for r in range(1, K + 2))
-_UNI = pa.schema([("ub", pa.int32()), ("keys", _B), ("n", _B), ("words", pa.int64()), ("seen", pa.int64()), ("total", pa.int64()), *_NR])
+_UNI = pa.schema([("ub", pa.int32()), ("keys", _B), ("n", _B), ("words", pa.int64()), ("seen", pa.int64()), ("total", pa.int64()), ("ends", pa.int64()), *_NR])
 
 
 def _unigrams(t: pa.Table) -> pa.Table:
     keys, n, _ = _sum_by([stretch(x, np.uint64, True) for x in t["keys"].to_pylist()], [stretch(x, np.uint32) for x in t["n"].to_pylist()])
-    return _table([(t["ub"][0].as_py(), squeeze(keys, True), squeeze(n), len(keys), int((n > 0).sum()), int(n.sum()), *_counts_of_counts(n))], _UNI)
+    return _table([(t["ub"][0].as_py(), squeeze(keys, True), squeeze(n), len(keys), int((n > 0).sum()), int(n.sum()), int(n[keys == END].sum()), *_counts_of_counts(n))], _UNI)
 
 
-_ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("a", _B), ("b", _B), ("c", _B)])
-_ANSWER_SQL = "chunk long, part int, a binary, b binary, c binary"
+#: What blocks are told: of order 1 ids and counts of their words, of higher orders what a bucket says of their n-grams and contexts.
+_TOLD = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("a", _B), ("b", _B), ("c", _B), ("d", _B)])
+_TOLD_SQL = "chunk long, level int, bucket int, a binary, b binary, c binary, d binary"
 
 
 def _resolve(asked: pa.Table, uni: pa.Table) -> pa.Table:
     if not asked.num_rows:
-        return _table([], _ANSWER)
+        return _table([], _TOLD)
     keys, n, base = stretch(uni["keys"][0].as_py(), np.uint64, True), stretch(uni["n"][0].as_py(), np.int64), uni["base"][0].as_py()
     rows = []
     for chunk, raw in zip(asked["chunk"].to_pylist(), asked["keys"].to_pylist(), strict=True):
         at = np.searchsorted(keys, stretch(raw, np.uint64, True))
-        rows.append((chunk, asked["ub"][0].as_py(), squeeze((at + base).astype(np.uint64), True), squeeze(n[at]), b""))
-    return _table(rows, _ANSWER)
+        rows.append((chunk, 1, asked["ub"][0].as_py(), squeeze((at + base).astype(np.uint64), True), squeeze(n[at]), b"", b""))
+    return _table(rows, _TOLD)
 
 
 def _joined(t: pa.Table) -> pa.Table:
-    t = t.sort_by("part")
+    t = t.sort_by("bucket")
     ids = np.concatenate([stretch(x, np.uint64, True) for x in t["a"].to_pylist()])
     n = np.concatenate([stretch(x, np.int64) for x in t["b"].to_pylist()])
-    return _table([(t["chunk"][0].as_py(), -1, squeeze(ids, True), squeeze(n), b"")], _ANSWER)
-
-
-def _pairs_of(sizes: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each token its key: the id of the word before in the high half, its own in the low one."""
-    w = ids[codes]
-    before = np.concatenate([[BEGIN], w[:-1]]).astype(np.uint64)
-    before[np.cumsum(sizes) - sizes] = BEGIN
-    return before << np.uint64(32) | w
-
-
-def _pair_bucket(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (C.mix(keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-
-
-_PAIRS = pa.schema([("pb", pa.int32()), ("chunk", pa.int64()), ("keys", _B), ("n", _B), ("cw", _B)])
-
-
-def _pairs(parts: int):
-    def run(packed: pa.Table, resolved: pa.Table) -> pa.Table:
+    return _table([(t["chunk"][0].as_py(), 1, -1, squeeze(ids, True), squeeze(n), b"", b"")], _TOLD)
+
+
+class Facts:
+    """What is known of the whole corpus before n-grams are counted; and the discounts of each order so far (``d[level]``)."""
+
+    def __init__(self, parts: int, tokens: int, texts: int, uni: Unigram):
+        self.parts, self.tokens, self.texts, self.uni = parts, tokens, texts, uni
+        self.d: dict[int, np.ndarray] = {}
+
+
+class Grams:
+    """The distinct n-grams of a block: context and word of each, in order; how often training has it; and which of them each token ends."""
+
+    def __init__(self, ctx: np.ndarray, word: np.ndarray, train: np.ndarray, ctx_count: np.ndarray):
+        order = np.lexsort((word, ctx))
+        c, w = ctx[order], word[order]
+        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
+        self.ctx, self.word, self.token = c[first], w[first], order[first]
+        self.n = np.add.reduceat(train[order].astype(np.int64), first).astype(np.uint32)
+        self.at = np.empty(len(order), np.int64)
+        self.at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        self.ctx_count = ctx_count[self.token]
+
+    def dealt(self, facts: Facts):
+        """(bucket, which n-grams, contexts, how many of the n-grams each has) of each bucket that is asked; a context dealt to several is asked of in all of them."""
+        parts = facts.parts
+        tasks = 1 + np.minimum(parts - 1, self.ctx_count * parts // max(1, facts.tokens)).astype(np.int64)
+        home = (C.mix(self.ctx) % np.uint64(parts)).astype(np.int64)
+        bucket = (home + (C.mix(self.word.astype(np.uint64) + np.uint64(1)) % tasks.astype(np.uint64)).astype(np.int64)) % parts
+        to = np.argsort(bucket, kind="stable")
+        at = np.searchsorted(bucket[to], np.arange(parts + 1))
+        start = np.flatnonzero(np.concatenate([[True], self.ctx[1:] != self.ctx[:-1]]))
+        shared = start[tasks[start] > 1]
+        also = np.repeat(self.ctx[shared], tasks[shared])
+        also_in = (np.repeat(home[shared], tasks[shared]) + C.gather(np.zeros(len(shared), np.int64), tasks[shared])) % parts if len(shared) else np.empty(0, np.int64)
+        for i in range(parts):
+            which = to[at[i] : at[i + 1]]
+            ctxs, each = np.unique(np.concatenate([self.ctx[which], also[also_in == i]]), return_counts=True)
+            if len(ctxs):
+                if (more := also[also_in == i]).size:
+                    each[np.searchsorted(ctxs, more)] -= 1
+                yield i, which, ctxs, each.astype(np.uint32)
+
+    def probabilities(self, facts: Facts, d: np.ndarray, lower: np.ndarray, told: dict[int, dict]) -> tuple[np.ndarray, np.ndarray]:
+        """P(word | context) and the count of each n-gram, from the probabilities of the next lower order."""
+        start = np.flatnonzero(np.concatenate([[True], self.ctx[1:] != self.ctx[:-1]]))
+        distinct, own = self.ctx[start], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(self.ctx))))
+        r, total, by_count, given = np.zeros(len(self.ctx), np.int64), np.zeros(len(start), np.int64), np.zeros((K, len(start)), np.int64), np.zeros(len(start))
+        for i, which, ctxs, _ in self.dealt(facts):
+            a, at = told[i], np.searchsorted(distinct, ctxs)
+            r[which] = stretch(a["a"], np.int64)
+            total[at] += stretch(a["b"], np.int64)
+            by_count[:, at] += stretch(a["c"], np.uint32).reshape(K, -1)
+            given[at] += stretch(a["d"], np.float64)
+        none = by_count.sum(0) == 0
+        size = np.where(none, total + 1.0, total)
+        freed = np.where(none, 1.0, ((1 - d[1:]) * np.arange(1, K + 1)) @ by_count)
+        alpha = np.where(total > 0, freed / size / np.maximum(1 - given, 1e-12), 1.0)
+        return np.where(r > 0, discounted(r, d) / size[own], alpha[own] * lower), r
+
+
+class Block:
+    """The tokens of a block, with what it was told of them so far."""
+
+    def __init__(self, packed: dict, told: list[dict], facts: Facts):
+        self.facts, self.told = facts, {}
+        for t in told:
+            self.told.setdefault(t["level"], {})[t["bucket"]] = t
+        words = self.told[1][-1]
+        ids, counts = stretch(words["a"], np.uint64, True), stretch(words["b"], np.int64)
+        self.sizes, codes = stretch(packed["sizes"], np.int64), stretch(packed["codes"], np.uint32)
+        self.train = np.repeat(stretch(packed["held"], np.uint8) == 0, self.sizes)
+        self.word, self.count = ids[codes], counts[codes]
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def _before(self, values: np.ndarray, begin) -> np.ndarray:
+        """For each token, the value of the token before it."""
+        out = np.concatenate([values[:1], values[:-1]])
+        out[self.first] = begin
+        return out
+
+    def grams(self, level: int) -> tuple[Grams, np.ndarray]:
+        """The n-grams of an order, and the probability of each word by the order below."""
+        begin = self.facts.texts
+        before = self._before(self.word, BEGIN)
+        if level == 2:
+            g = Grams(before, self.word, self.train, self._before(self.count, begin))
+            return g, self.facts.uni(self.count[g.token])
+        probability, r = self.tokens(level - 1)
+        g = Grams(self._before(before, BEGIN) << np.uint64(32) | before, self.word, self.train, self._before(r, begin))
+        return g, probability[g.token]
+
+    def tokens(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token: its probability by an order, and how often training has the n-gram."""
+        if level == 1:
+            return self.facts.uni(self.count), self.count
+        g, lower = self.grams(level)
+        probability, r = g.probabilities(self.facts, self.facts.d[level], lower, self.told[level])
+        return probability[g.at], r[g.at]
+
+
+_GRAMS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("ctx", _B), ("each", _B), ("words", _B), ("n", _B), ("lower", _B)])
+_GRAMS_SQL = "bucket int, chunk long, ctx binary, each binary, words binary, n binary, lower binary"
+
+
+def _grams(level: int, facts: Facts):
+    def run(packed: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
         for p in packed.to_pylist():
-            ids, cw = stretch(resolved["a"][0].as_py(), np.uint64, True), stretch(resolved["b"][0].as_py(), np.int64)
-            sizes, codes = stretch(p["sizes"], np.int64), stretch(p["codes"], np.uint32)
-            train = np.repeat(stretch(p["held"], np.uint8) == 0, sizes)
-            keys = _pairs_of(sizes, codes, ids)
-            order = np.argsort(keys, kind="stable")
-            s = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            n, keys = np.add.reduceat(train[order].astype(np.int64), first).astype(np.uint32), s[first]
-            c = cw[codes[order[first]]]
-            bucket = _pair_bucket(keys, parts)
-            to = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[to], np.arange(parts + 1))
-            rows += [(i, p["chunk"], squeeze(keys[to[x:y]], True), squeeze(n[to[x:y]]), squeeze(c[to[x:y]])) for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
-        return _table(rows, _PAIRS)
+            block = Block(p, told.to_pylist(), facts)
+            g, lower = block.grams(level)
+            # Of order 2 the word's count says its probability, in fewer bytes.
+            said = block.count[g.token] if level == 2 else lower
+            rows += [(i, p["chunk"], squeeze(ctxs, True), squeeze(each), squeeze(g.word[which].astype(np.uint32)), squeeze(g.n[which]), squeeze(said[which])) for i, which, ctxs, each in g.dealt(facts)]
+        return _table(rows, _GRAMS)
 
     return run
 
 
-_BI = pa.schema([("pb", pa.int32()), ("keys", _B), ("n", _B), ("cw", _B), *_NR])
+_COUNTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("a", _B), ("b", _B), ("c", _B), ("d", _B), *_NR])
+_COUNTED_SQL = "kind int, bucket int, chunk long, a binary, b binary, c binary, d binary" + _NR_SQL
+
+
+def _counted(level: int, facts: Facts):
+    """Sums of one bucket: the model's n-grams (kind 0: contexts, words, counts) and what each block is told (kind 1: counts of its n-grams; of its contexts the total, how many followers have each count to K, and the lower probabilities of all followers)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        asked = [(r["chunk"], stretch(r["ctx"], np.uint64, True), stretch(r["each"], np.uint32), stretch(r["words"], np.uint32), stretch(r["n"], np.uint32), r["lower"]) for r in t.to_pylist()]
+        bucket = t["bucket"][0].as_py()
+        ctx, word = np.concatenate([np.repeat(c, e) for _, c, e, *_ in asked]), np.concatenate([w for _, _, _, w, _, _ in asked])
+        order = np.lexsort((word, ctx))
+        c, w = ctx[order], word[order]
+        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])) if len(c) else np.empty(0, np.int64)
+        n = np.add.reduceat(np.concatenate([x for _, _, _, _, x, _ in asked])[order].astype(np.int64), first) if len(c) else np.empty(0, np.int64)
+        r = np.empty(len(order), np.int64)
+        r[order] = np.repeat(n, np.diff(np.append(first, len(order))))
+        lower = np.concatenate([stretch(x, np.int64 if level == 2 else np.float64) for *_, x in asked])[order[first]]
+        keep = n > 0
+        c, w, n, lower = c[first][keep], w[first][keep], n[keep], lower[keep]
+        lower = facts.uni(lower) if level == 2 else lower
+        start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
+        sums = lambda x: np.add.reduceat(x, start) if len(start) else np.empty(0, x.dtype)
+        known, total, given = c[start], sums(n), sums(lower)
+        by_count = np.stack([sums((n == k).astype(np.int64)) for k in range(1, K + 1)])
+        rows, at = [(0, bucket, -1, squeeze(c, True), squeeze(w), squeeze(n), b"", *_counts_of_counts(n))], 0
+        for chunk, ctxs, each, *_ in asked:
+            place = np.minimum(np.searchsorted(known, ctxs), max(0, len(known) - 1))
+            here = known[place] == ctxs if len(known) else np.zeros(len(ctxs), bool)
+            pick = lambda x: np.where(here, x[..., place], 0) if len(known) else np.zeros((*x.shape[:-1], len(ctxs)), x.dtype)  # noqa: E731, B023
+            to = at + int(each.sum())
+            rows.append((1, bucket, chunk, squeeze(r[at:to]), squeeze(pick(total)), squeeze(pick(by_count).astype(np.uint32).ravel()), squeeze(pick(given).astype(np.float64)), *[0] * len(_NR)))
+            at = to
+        return _table(rows, _COUNTED)
 
-
-def _bigrams(t: pa.Table) -> pa.Table:
-    """Pairs of training, with their counts and the counts of their second words."""
-    keys, n, at = _sum_by([stretch(x, np.uint64, True) for x in t["keys"].to_pylist()], [stretch(x, np.uint32) for x in t["n"].to_pylist()])
-    cw = np.concatenate([stretch(x, np.int64) for x in t["cw"].to_pylist()])[at]
-    keep = n > 0
-    return _table([(t["pb"][0].as_py(), squeeze(keys[keep], True), squeeze(n[keep]), squeeze(cw[keep]), *_counts_of_counts(n[keep]))], _BI)
+    return run
 
 
 def discounts(nr: list[int]) -> np.ndarray:
@@ -250,80 +363,20 @@ class Unigram:
         return np.where(n > 0, discounted(n, self.d) * self.scale / max(1, self.total), self.unknown)
 
 
-def context_sums(keys: np.ndarray, n: np.ndarray, cw: np.ndarray, d: np.ndarray, uni: Unigram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted pairs: first words, the divisor of their discounted counts, and backoff weights."""
-    ctx = keys >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.empty(0, np.int64)
-    if not len(first):
-        return ctx, np.empty(0), np.empty(0)
-    total = np.add.reduceat(n, first).astype(float)
-    kept = np.add.reduceat(discounted(n, d), first)
-    freed = np.add.reduceat(n * (1 - d[np.where(n <= K, n, 0)]), first)
-    none = ~np.logical_or.reduceat(n <= K, first)
-    total = np.where(none, kept + 1, total)
-    freed = np.where(none, 1.0, freed)
-    rest = 1 - np.add.reduceat(uni(cw), first)
-    return ctx[first], total, freed / total / np.maximum(rest, 1e-12)
-
-
-def _answers(d: np.ndarray, uni: Unigram):
-    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return _table([], _ANSWER)
-        m = model.to_pylist()[0]
-        keys, n, cw = stretch(m["keys"], np.uint64, True), stretch(m["n"], np.int64), stretch(m["cw"], np.int64)
-        ctx, total, alpha = context_sums(keys, n, cw, d, uni)
-        rows = []
-        for chunk, raw in zip(asked["chunk"].to_pylist(), asked["keys"].to_pylist(), strict=True):
-            k = stretch(raw, np.uint64, True)
-            r = _look_up(keys, n, k)
-            own = k >> np.uint64(32)
-            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            rows.append((chunk, asked["pb"][0].as_py(), squeeze(r), squeeze(_look_up(ctx, total, own)), squeeze(_look_up(ctx, alpha, own, 1.0))))
-        return _table(rows, _ANSWER)
-
-    return run
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default=0) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), default, values.dtype)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], values.dtype.type(default))
-
-
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _SCORES_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(parts: int, d: np.ndarray, uni: Unigram, seen: int):
-    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+def _scores(order: int, facts: Facts, seen: int):
+    def run(packed: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        by = {a["part"]: a for a in answers.to_pylist()}
         for p in packed.to_pylist():
-            ids, cw = stretch(by[-1]["a"], np.uint64, True), stretch(by[-1]["b"], np.int64)
-            docs, sizes, codes = stretch(p["docs"], np.int64), stretch(p["sizes"], np.int64), stretch(p["codes"], np.uint32)
-            held = stretch(p["held"], np.uint8) > 0
-            keys, again = np.unique(_pairs_of(sizes, codes, ids), return_inverse=True)
-            bucket = _pair_bucket(keys, parts)
-            ctx = keys >> np.uint64(32)
-            r, total, alpha = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.ones(len(keys))
-            to = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[to], np.arange(parts + 1))
-            for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                if y > x:
-                    mine = to[x:y]
-                    c = ctx[mine]
-                    which = np.cumsum(np.concatenate([[0], c[1:] != c[:-1]]))
-                    r[mine] = stretch(by[i]["a"], np.int64)
-                    total[mine], alpha[mine] = stretch(by[i]["b"], np.float64)[which], stretch(by[i]["c"], np.float64)[which]
-            # Per token: its pair if training has it, else the context's backoff weight times the word by itself.
-            n = cw[codes]
-            r, total, alpha = r[again], total[again], alpha[again]
-            prob = np.where(r > 0, discounted(r, d) / np.maximum(total, 1e-300), alpha * uni(n))
-            offs = np.concatenate([[0], np.cumsum(sizes)])
-            base = np.log10((n + 1.0) / (uni.total + seen + 1.0))
-            cols = [pa.array(docs, mask=docs == _NO_ID), held, sizes, np.add.reduceat((n > 0).astype(np.int64), offs[:-1]), np.full(len(docs), uni.total), np.add.reduceat(base, offs[:-1]), np.add.reduceat(np.log10(prob), offs[:-1])]
+            block = Block(p, told.to_pylist(), facts)
+            prob, _ = block.tokens(order)
+            docs, held = stretch(p["docs"], np.int64), stretch(p["held"], np.uint8) > 0
+            n, total = block.count, facts.uni.total
+            base = np.log10((n + 1.0) / (total + seen + 1.0))
+            cols = [pa.array(docs, mask=docs == _NO_ID), held, block.sizes, np.add.reduceat((n > 0).astype(np.int64), block.first), np.full(len(docs), total), np.add.reduceat(base, block.first), np.add.reduceat(np.log10(prob), block.first)]
             out.append(pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], schema=_SCORES))
         return pa.concat_tables(out) if out else _table([], _SCORES)
 
@@ -338,34 +391,36 @@ def _bucketed(df: DataFrame, by: str, parts: int, label: str) -> DataFrame:
     return spark.table(C.table_name(path))
 
 
-def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs`` (doc_id, text)."""
+def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs`` (doc_id, text), by n-grams of up to ``order`` words."""
+    if not 1 <= order <= 3:
+        raise ValueError("order must be 1, 2 or 3")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = _bucketed(C.plain(docs, "doc_id", "text").mapInArrow(_pack(chunk_tokens), _PACKED_SQL), "chunk", parts, "packed")
     ask = packed.select("chunk", "vocab", "trained").mapInArrow(_ask(parts), "ub int, chunk long, keys binary, n binary")
-    uni = C.stage(ask.groupBy("ub").applyInArrow(_unigrams, "ub int, keys binary, n binary, words long, seen long, total long" + _NR_SQL), "unigrams")
+    uni = C.stage(ask.groupBy("ub").applyInArrow(_unigrams, "ub int, keys binary, n binary, words long, seen long, total long, ends long" + _NR_SQL), "unigrams")
     # One row for each bucket: bounded by the number of shuffle partitions.
-    base, bases, seen, total, nr = 0, [], 0, 0, [0] * (K + 1)
+    base, bases, seen, total, texts, nr = 0, [], 0, 0, 0, [0] * (K + 1)
     for row in sorted(uni.drop("keys", "n").collect(), key=lambda r: r.ub):
         bases.append((row.ub, base))
-        base, seen, total = base + row.words, seen + row.seen, total + row.total
+        base, seen, total, texts = base + row.words, seen + row.seen, total + row.total, texts + row.ends
         nr = [a + row[f"n{r + 1}"] for r, a in enumerate(nr)]
     if base >= int(BEGIN):
         raise ValueError("more distinct words than 32-bit ids")
-    d1 = discounts(nr)
-    unigram = Unigram(total, nr, d1)
+    facts = Facts(parts, total, texts, Unigram(total, nr, discounts(nr)))
     model = uni.select("ub", "keys", "n").join(F.broadcast(spark.createDataFrame(bases, "ub int, base long")), "ub")
-    answered = ask.select("ub", "chunk", "keys").groupBy("ub").cogroup(model.groupBy("ub")).applyInArrow(_resolve, _ANSWER_SQL)
-    resolved = _bucketed(answered.groupBy("chunk").applyInArrow(_joined, _ANSWER_SQL), "chunk", parts, "resolved")
-    pairs = packed.select("chunk", "held", "sizes", "codes").groupBy("chunk").cogroup(resolved.groupBy("chunk")).applyInArrow(_pairs(parts), "pb int, chunk long, keys binary, n binary, cw binary")
-    pairs = _bucketed(pairs.repartition(parts, "pb"), "pb", parts, "pairs")
-    bigrams = _bucketed(pairs.groupBy("pb").applyInArrow(_bigrams, "pb int, keys binary, n binary, cw binary" + _NR_SQL), "pb", parts, "bigrams")
-    sums = bigrams.agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)).alias(f"n{r}") for r in range(1, K + 2)]).first()
-    d2 = discounts(list(sums))
-    answers = pairs.select("pb", "chunk", "keys").groupBy("pb").cogroup(bigrams.select("pb", "keys", "n", "cw").groupBy("pb")).applyInArrow(_answers(d2, unigram), _ANSWER_SQL)
-    answers = answers.unionByName(resolved.select("chunk", "part", "a", "b", "c"))
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(parts, d2, unigram, seen), _SCORES_SQL)
+    answered = ask.select("ub", "chunk", "keys").groupBy("ub").cogroup(model.groupBy("ub")).applyInArrow(_resolve, _TOLD_SQL)
+    told = _bucketed(answered.groupBy("chunk").applyInArrow(_joined, _TOLD_SQL), "chunk", parts, "resolved")
+    for level in range(2, order + 1):
+        grams = packed.select("chunk", "held", "sizes", "codes").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_grams(level, facts), _GRAMS_SQL)
+        path = C.new_path(spark, f"grams{level}")
+        grams.groupBy("bucket").applyInArrow(_counted(level, facts), _COUNTED_SQL).write.partitionBy("kind").parquet(path)
+        counted = spark.read.schema(_COUNTED_SQL).parquet(path)
+        sums = counted.where("kind = 0").agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)).alias(f"n{r}") for r in range(1, K + 2)]).first()
+        facts.d[level] = discounts(list(sums))
+        told = told.unionByName(counted.where("kind = 1").select("chunk", F.lit(level).alias("level"), "bucket", "a", "b", "c", "d"))
+    return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scores(order, facts, seen), _SCORES_SQL)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
