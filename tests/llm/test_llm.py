@@ -628,39 +628,63 @@ def test_url_filters_of_one_label(spark):
     ]
 
 
-def test_katz(docs, empty):
+def test_katz(docs, empty, monkeypatch):
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", _fold(t)), "</s>"] for i, t in DOCS}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    uni, bi = collections.Counter(), collections.Counter()
+    counts = {m: collections.Counter() for m in (1, 2, 3)}
     for i, t in tokens.items():
         if not held[i]:
-            uni.update(t)
-            bi.update(zip(["<s>", *t], t, strict=False))
+            padded = ["<s>", "<s>", *t]
+            for m, c in counts.items():
+                c.update(tuple(padded[k - m + 1 : k + 1]) for k in range(2, len(padded)))
+    uni = collections.Counter({w: r for (w,), r in counts[1].items()})
     n, v = sum(uni.values()), len(uni)
     nr = lambda c: [sum(x == r for x in c.values()) for r in range(1, 7)]
-    d1, d2 = katz.discounts(nr(uni)), katz.discounts(nr(bi))
-    p1 = katz.Unigram(n, nr(uni), d1)
+    d = {m: katz.discounts(nr(c)) for m, c in counts.items()}
+    p1 = katz.Unigram(n, nr(uni), d[1])
     one = lambda w: float(p1(np.array([uni[w]]))[0])
-    after = collections.defaultdict(dict)
-    for (a, b), r in bi.items():
-        after[a][b] = r
-    disc = lambda r: r * (d2[r] if r <= 5 else 1)
-    total = {a: sum(f.values()) + (1 if all(r > 5 for r in f.values()) else 0) for a, f in after.items()}
-    alpha = {a: (1 - sum(disc(r) for r in f.values()) / total[a]) / (1 - sum(map(one, f))) for a, f in after.items()}
-    # Exactly normalised: over all words and the unknown class, in each context.
-    for a, f in after.items():
-        assert abs(sum(disc(r) / total[a] if (r := f.get(w, 0)) else alpha[a] * one(w) for w in uni) + alpha[a] * p1.unknown - 1) < 1e-9
-    for chunk in (50, 10**6):
-        for r in katz.score(docs, chunk).collect():
+    after = {m: collections.defaultdict(dict) for m in (2, 3)}
+    for m in after:
+        for gram, r in counts[m].items():
+            after[m][gram[:-1]][gram[-1]] = r
+    disc = lambda m, r: r * (d[m][r] if r <= 5 else 1)
+    total = {m: {c: sum(f.values()) + (1 if all(r > 5 for r in f.values()) else 0) for c, f in after[m].items()} for m in after}
+    alpha = {m: {} for m in after}
+
+    def p(m, context, w):
+        if m == 1:
+            return one(w)
+        context = context[len(context) - m + 1 :]
+        if r := after[m].get(context, {}).get(w, 0):
+            return disc(m, r) / total[m][context]
+        return alpha[m].get(context, 1) * p(m - 1, context, w)
+
+    for m in after:
+        for c, f in after[m].items():
+            alpha[m][c] = (1 - sum(disc(m, r) for r in f.values()) / total[m][c]) / (1 - sum(p(m - 1, c, w) for w in f))
+    # Exactly normalised: over all words and the unknown class, in each context of each order.
+    for m in after:
+        for c in after[m]:
+            assert abs(sum(p(m, c, w) for w in uni) + p(m, c, "<unknown>") - 1) < 1e-9
+    for order, chunk in ((2, 50), (3, 50), (3, 10**6), (1, 10**6)):
+        for r in katz.score(docs, chunk, order).collect():
             t = tokens[r.doc_id]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(uni[w] > 0 for w in t), n)
             assert math.isclose(r.base_score, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-            want = sum(math.log10(disc(c) / total[a] if (c := after.get(a, {}).get(w, 0)) else alpha.get(a, 1) * one(w)) for a, w in zip(["<s>", *t], t, strict=False))
-            assert math.isclose(r.score, want, rel_tol=1e-9)
+            padded = ["<s>", "<s>", *t]
+            want = sum(math.log10(p(order, tuple(padded[k - 2 : k]), padded[k])) for k in range(2, len(padded)))
+            assert math.isclose(r.score, want, rel_tol=1e-9), (order, r.doc_id)
     assert katz.score(empty).count() == 0
     # A row without a doc_id is never held out, and counts; repeated rows count as often as they stand.
-    odd = docs.sparkSession.createDataFrame([(None, "a b"), (None, None), (1, "a b"), (1, "a b")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in katz.score(odd).collect()) == [(0, False, 1, 1, 10), (0, False, 3, 3, 10), (1, False, 3, 3, 10), (1, False, 3, 3, 10)]
+    kept = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    odd = docs.sparkSession.createDataFrame([(None, "a b"), (None, None), (kept, "a b"), (kept, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in katz.score(odd).collect()) == [(0, False, 1, 1, 10), (0, False, 3, 3, 10), (kept, False, 3, 3, 10), (kept, False, 3, 3, 10)]
+    with pytest.raises(ValueError):
+        katz.score(empty, order=4)
+    # Buckets do not change a score: a context dealt to many of them gives the same.
+    alone = {r.doc_id: r.score for r in katz.score(docs, 200, 3).collect()}
+    monkeypatch.setattr(katz.Facts, "__init__", lambda self, parts, tokens, texts, uni, of=katz.Facts.__init__: of(self, parts, max(1, tokens // 40), texts, uni))
+    assert {r.doc_id: pytest.approx(r.score) for r in katz.score(docs, 200, 3).collect()} == alone
 
 
 def _plain_pipeline(rows, bench):
