@@ -68,6 +68,11 @@ def released() -> Iterator[None]:
         _drop_from(before)
 
 
+def drop_stages() -> None:
+    """Drop all that operators have staged so far: no result that still reads it may be in use."""
+    _drop_from(0)
+
+
 def _drop_from(first: int) -> None:
     for spark, path, table in _written[first:]:
         if table:
