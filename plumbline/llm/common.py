@@ -137,7 +137,9 @@ def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], by: str, how
         hot = hot_keys(rows, keys)
     if not hot:
         return rows.join(other, keys, how)
-    spread = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys, F.lit(0).alias("_n")).schema))
+    types = [*(rows.schema[k].dataType for k in keys), "int"]
+    entries = [F.struct(*[F.lit(v).cast(t).alias(name) for v, t, name in zip(key, types, [*keys, "_n"], strict=True)]) for key in hot]
+    spread = F.broadcast(rows.sparkSession.range(1).select(F.inline(F.array(*entries))))
     rows = rows.join(spread, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_n"), F.lit(0)).cast("int")).drop("_n")
     other = other.join(spread, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
     return rows.join(other, [*keys, "_salt"], how).drop("_salt")
