@@ -66,6 +66,10 @@ _SPACE, _END_OF_NUMBER = " \t\r\n", " \t\r\n,)("
 _PLAIN = re.compile(r"[0-9.,eE \t\r\n-]+\Z").match
 
 
+_BLANKS, _LETTERS = re.compile(r"[ \t\r\n]*").match, re.compile(r"[A-Za-z]*").match
+_TAGGED = {"Z": XYZ, "M": XYM, "ZM": XYZM}
+
+
 class _Text:
     def __init__(self, text: str):
         self.t, self.i = text, 0
@@ -74,21 +78,17 @@ class _Text:
         raise GeometryError(f"Expected {what} at byte {len(self.t[: self.i].encode())}")
 
     def skip(self) -> bool:
-        start = self.i
-        while self.i < len(self.t) and self.t[self.i] in _SPACE:
-            self.i += 1
-        return self.i > start
+        end = _BLANKS(self.t, self.i).end()
+        moved, self.i = end > self.i, end
+        return moved
 
     def peek(self) -> str:
-        self.skip()
-        return self.t[self.i] if self.i < len(self.t) else ""
+        self.i = _BLANKS(self.t, self.i).end()
+        return self.t[self.i : self.i + 1]
 
     def word(self) -> str:
-        self.skip()
-        j = self.i
-        while j < len(self.t) and self.t[j].isascii() and self.t[j].isalpha():
-            j += 1
-        return self.t[self.i : j]
+        self.i = _BLANKS(self.t, self.i).end()
+        return _LETTERS(self.t, self.i)[0]
 
     def number(self) -> float:
         j = self.i
@@ -148,11 +148,10 @@ class _Text:
             out.append(item())
 
     def dims(self) -> int:
-        self.skip()
-        for tag, d in (("ZM", XYZM), ("Z", XYZ), ("M", XYM)):
-            if self.word() == tag and self.t[self.i + len(tag) : self.i + len(tag) + 1] in (*_SPACE, "("):
-                self.i += len(tag)
-                return d
+        tag = self.word()
+        if tag in _TAGGED and self.t[self.i + len(tag) : self.i + len(tag) + 1] in (*_SPACE, "("):
+            self.i += len(tag)
+            return _TAGGED[tag]
         return XY
 
     def tagged(self, depth: int = 0) -> Tree:
@@ -396,14 +395,20 @@ def from_native(value, geometry: int, dims: int) -> Tree:
     return geometry, dims, [(_MEMBER[geometry], dims, x) for x in value]
 
 
+def _full(coords: list, d: int) -> list[tuple]:
+    """Coordinates as x, y, z, m."""
+    nan = math.nan
+    return [(x, y, nan, nan) for x, y in coords] if d == XY else [cast_coord(c, d, XYZM) for c in coords]
+
+
 def nodes_of(tree: Tree, level: int = 0) -> list[tuple[int, int, int, int, list]]:
     """Depth-first nodes: level, geometry, dims, size and coordinates (as x, y, z, m) of each; rings are lines."""
     g, d, items = tree
     if g in (POINT, LINESTRING):
-        return [(level, g, d, len(items), [cast_coord(c, d, XYZM) for c in items])]
+        return [(level, g, d, len(items), _full(items, d))]
     out = [(level, g, d, len(items), [])]
     for x in items:
-        out += [(level + 1, LINESTRING, d, len(x), [cast_coord(c, d, XYZM) for c in x])] if g == POLYGON else nodes_of(x, level + 1)
+        out += [(level + 1, LINESTRING, d, len(x), _full(x, d))] if g == POLYGON else nodes_of(x, level + 1)
     return out
 
 
@@ -413,7 +418,7 @@ def from_nodes(nodes: list[tuple]) -> Tree:
     def one() -> Tree:
         _, g, d, size, coords = next(it)
         if g in (POINT, LINESTRING):
-            return g, d, [cast_coord(tuple(c), XYZM, d) for c in coords]
+            return g, d, [c[:2] for c in coords] if d == XY else [cast_coord(c, XYZM, d) for c in coords]
         kids = [one() for _ in range(size)]
         return g, d, [k[2] for k in kids] if g == POLYGON else kids
 
