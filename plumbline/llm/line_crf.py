@@ -18,7 +18,7 @@ documents and TRAIN_LINES lines at most (a document that does not fit into what
 
 Defined cases: null and empty texts have one empty line and get its score; several labels of one document count by the largest; without
 labels of both kinds all scores are the share of good ones (0.5 without any); repeated rows are scored each and learned from once; an
-empty table gives an empty result; rows without a doc_id are scored and not learned from; labels, lang, source and doc_id are no inputs;
+empty table gives an empty result; rows without a doc_id are scored, not learned from and not held out; labels, lang, source and doc_id are no inputs;
 other columns are ignored.
 """
 
@@ -295,7 +295,7 @@ def score(docs: DataFrame, crf: Crf) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(crf.scores(C.texts_of(b)), pa.float64())], names=["doc_id", "score"])
 
     out = C.plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
