@@ -12,7 +12,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text of about this many bytes is worked on at once, so a worker's memory depends on it and on the longest document.
@@ -115,8 +115,8 @@ def join_shared(rows: DataFrame, shared: DataFrame, keys: list[str], members: st
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
-def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, members: str | None = None) -> list[tuple]:
-    """Keys of ``rows`` with a share of 1 / partitions of all rows or more, which cannot be more than there are partitions, each with the number of tasks it fills.
+def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, members: str | None = None) -> list[tuple[int, int]]:
+    """Keys of ``rows`` with a share of 1 / partitions of all rows or more, which cannot be more than there are partitions: the hash of each and the number of tasks it fills.
 
     ``members`` is a column with the number of rows of a key, if ``rows`` are counted already; ``total`` is the number of all rows, if known.
     """
@@ -124,24 +124,31 @@ def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, members
     if total is None:
         total = (rows.agg(F.sum(members)).first()[0] or 0) if members else rows.count()
     counts = rows.select(*keys, F.col(members).alias("_c")) if members else rows.groupBy(*keys).agg(F.count("*").alias("_c"))
-    return [tuple(r) for r in counts.where(F.col("_c") * parts > total).select(*keys, F.ceil(F.col("_c") * F.lit(parts / max(1, total))).cast("int")).collect()] if total else []
+    return [tuple(r) for r in counts.where(F.col("_c") * parts > total).select(F.xxhash64(*keys), F.ceil(F.col("_c") * F.lit(parts / max(1, total))).cast("int")).collect()] if total else []
 
 
-def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], by: str, how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
-    """``rows`` (inner or left) joined with ``other`` by ``keys``; a key with more rows than a partition's share is spread over as many tasks as it fills.
+def _tasks(keys: list[str], hot: list[tuple[int, int]]) -> Column:
+    """The number of tasks of a key, in powers of two: sets of hashes in the plan, no join.  Whatever shares a hash with a hot key is spread too."""
+    levels: dict[int, list[int]] = {}
+    for h, n in hot:
+        levels.setdefault(1 << (n - 1).bit_length(), []).append(h)
+    out = F.lit(1)
+    for n, hashes in sorted(levels.items()):
+        out = F.when(F.xxhash64(*keys).isin(hashes), n).otherwise(out)
+    return out
+
+
+def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], by: str, how: str = "inner", hot: list[tuple[int, int]] | None = None) -> DataFrame:
+    """``rows`` (inner, left or left_semi) joined with ``other`` by ``keys`` of the same types; a key with more rows than a partition's share is spread over as many tasks as it fills.
 
     ``by`` is a column of ``rows`` that tells the rows of one key apart.  ``hot`` are the keys to spread, by hot_keys(); without it they are
-    looked for, and ``rows`` are read twice.  They are broadcast, and rows of ``other`` with such a key are repeated for each task of it.
+    looked for, and ``rows`` are read twice.  Rows of ``other`` with such a key are repeated for each task of it.
     """
     if hot is None:
         hot = hot_keys(rows, keys)
-    if not hot:
-        return rows.join(other, keys, how)
-    types = [*(rows.schema[k].dataType for k in keys), "int"]
-    entries = [F.struct(*[F.lit(v).cast(t).alias(name) for v, t, name in zip(key, types, [*keys, "_n"], strict=True)]) for key in hot]
-    spread = F.broadcast(rows.sparkSession.range(1).select(F.inline(F.array(*entries))))
-    rows = rows.join(spread, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_n"), F.lit(0)).cast("int")).drop("_n")
-    other = other.join(spread, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    tasks = _tasks(keys, hot)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), tasks).cast("int"))
+    other = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), tasks - 1)) if hot else F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int"))
     return rows.join(other, [*keys, "_salt"], how).drop("_salt")
 
 

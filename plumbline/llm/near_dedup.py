@@ -313,7 +313,7 @@ def judge(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     buckets = C.hot_keys(shared, ["band", "h"], members="members")
     parts = C.stage(_labelled(members.select("band", "h", "id", "n"), labels, "id", "part", "h", []), "parts")
     apart = parts.groupBy("band", "h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band", "h")
-    parts = C.stage(C.join_spread(parts, apart, ["band", "h"], "id", hot=buckets), "parts")
+    parts = C.stage(C.join_spread(parts, apart, ["band", "h"], "id", "left_semi", buckets), "parts")
     if not parts.isEmpty():
         links = links.union(_missed(parts, labels, sig, buckets, confirmed, verified, texts_of, k, percent))
         labels = components(links)
@@ -351,7 +351,7 @@ def _missed(parts: DataFrame, labels: DataFrame, sig: DataFrame, buckets: list[t
     blocks = [(many, whole.join(many.select("part").distinct(), "part", "left_semi").select("part", "y", F.col("part").alias("own")), sorted({*wanted, *large}))]
     # In a bucket with many components the small ones are compared in blocks too, as one group.
     if not crowded.isEmpty():
-        crowd = C.stage(C.join_spread(parts.where(F.col("size") <= SMALL), crowded, ["band", "h"], "id", hot=buckets).select(F.col("id").alias("x"), F.col("part").alias("own"), F.xxhash64("band", "h").alias("part")), "crowd")
+        crowd = C.stage(C.join_spread(parts.where(F.col("size") <= SMALL), crowded, ["band", "h"], "id", "left_semi", buckets).select(F.col("id").alias("x"), F.col("part").alias("own"), F.xxhash64("band", "h").alias("part")), "crowd")
         counts = C.stage(crowd.groupBy("part").agg(F.count("*").alias("size")), "counts")
         crowds = C.hot_keys(counts, ["part"], members="size")
         crowd = C.stage(C.join_spread(crowd, counts, ["part"], "x", hot=crowds).select("x", "own", "part", "size"), "crowd")
