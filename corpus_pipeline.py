@@ -81,5 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The near-dedup and token stages are beyond SQL; tests/llm hold run() against its stages run one by one, not against brute force.
+#: The near-dedup and token stages are beyond SQL; tests/llm hold run() against the five stages in plain Python, on planted cases and on the smallest test tables.
 ORACLE_SQL = None
