@@ -12,9 +12,13 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
+import os
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -193,23 +197,26 @@ class Bpe:
     def _known(self, units: set[str], cache: list[dict], lead: str) -> dict[str, tuple]:
         """For runs of text that the pattern cuts alike wherever they stand: (ids as decimals, number of ids, their bytes).
 
-        ``lead`` is what stands before each of ``units``; ``cache`` is the younger and the older generation of those known.
+        ``lead`` is what stands before each of ``units``; ``cache`` is the younger and the older generation of those known;
+        others than ``units`` may be returned too.
         """
         young, old = cache
-        out = {u: young.get(u) or old.get(u) for u in units}
-        todo = [u for u, x in out.items() if x is None]
+        todo = []
+        for u in units.difference(young):
+            if (x := old.get(u)) is None:
+                todo.append(u)
+            else:
+                young[u] = x
         pieces = list(map(self.pattern.findall, [lead + u for u in todo]))
         each = {p: None for ps in pieces for p in ps}
         for p, ids in zip(each, self.merge([p.encode("utf-8") for p in each]), strict=True):
             each[p] = ids
         for u, ps in zip(todo, pieces, strict=True):
             ids = each[ps[0]] if len(ps) == 1 else [i for p in ps for i in each[p]]
-            out[u] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-        if len(young) + len(out) > self.half:  # what this slice used is the younger generation
-            cache[:] = [dict(out), young]
-        else:
-            young.update(out)
-        return out
+            young[u] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+        if len(young) > self.half:  # what was used since the last time is the older generation
+            cache[:] = [{}, young]
+        return young
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -253,13 +260,38 @@ class Bpe:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+@lru_cache(maxsize=1)
+def _made(path: str, pattern: str, written: tuple[int, int]) -> Bpe:
+    return Bpe(read_ranks(path), pattern)
+
+
+def made(path: str, pattern: str) -> Bpe:
+    """The worker's encoder: its tables and what it remembers serve all tasks of the worker, until another file is asked for."""
+    at = os.stat(path)
+    return _made(path, pattern, (at.st_mtime_ns, at.st_size))
+
+
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the search for cycles, of which encoding makes none: it would walk through all that is remembered again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _digests(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(read_ranks(path), pattern)
+        bpe = made(path, pattern)
         for whole in batches:
             for b in C.slices(whole, limit=2 * C.SLICE_BYTES):
                 n, a, d, ids = [], [], [], []
-                for runs in bpe.encode(C.texts_of(b).to_pylist()):
+                with _uncollected():
+                    encoded = bpe.encode(C.texts_of(b).to_pylist())
+                for runs in encoded:
                     said, count, raw = zip(*runs, strict=True) if runs else ((), (), ())
                     text = " ".join(said)
                     n.append(sum(count))

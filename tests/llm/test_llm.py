@@ -180,6 +180,19 @@ def test_byte_bpe(docs, empty):
     assert sorted((r.doc_id or -1, r.n_tokens) for r in bpe.encode_decode(rows, path, public_tokenizers.PATTERN).collect()) == [(-1, 0), (-1, 2), (1, 2), (1, 2)]
 
 
+def test_byte_bpe_encoder_is_made_once(tmp_path):
+    """Tasks of a worker share the tables and what is remembered; another file under the same name is read anew."""
+    import base64
+
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i}\n" for i in range(256)))
+    first = bpe.made(str(path), r"\w+|\W")
+    assert bpe.made(str(path), r"\w+|\W") is first and first.ids("aba ab") == [97, 98, 97, 32, 97, 98]
+    assert first.ids("aba ab") == [97, 98, 97, 32, 97, 98]  # as remembered
+    path.write_text(path.read_text() + f"{base64.b64encode(b'ab').decode()} 256\n")
+    assert bpe.made(str(path), r"\w+|\W").ids("aba ab") == [256, 97, 32, 256]
+
+
 def test_byte_bpe_of_long_matches():
     import random
     import time
