@@ -74,9 +74,9 @@ def reader(t: G.GeometryType) -> Callable:
     return lambda v: tr.from_native(tuples(v, G.DEPTH[t.geometry], names), t.geometry, t.dims)
 
 
-def writer(t: G.GeometryType, precision: int = 16, flat_multipoint: bool = True, strict: bool = False) -> Callable:
+def writer(t: G.GeometryType, precision: int = 16, flat_multipoint: bool = True, strict: bool = False, signed_zero: bool = False) -> Callable:
     if t.id in G.TEXT:
-        return lambda tree: tr.format_wkt(tree, precision, flat_multipoint)
+        return lambda tree: tr.format_wkt(tree, precision, flat_multipoint, signed_zero=signed_zero)
     if t.id in G.BINARY:
         return tr.format_wkb
     if t.geometry == G.BOX:
@@ -171,7 +171,7 @@ def _native_to_wkb(t: G.GeometryType) -> Callable[[pa.Array], pa.Array]:
     return run
 
 
-def format_doubles(xs: np.ndarray, precision: int = 16) -> pa.Array:
+def format_doubles(xs: np.ndarray, precision: int = 16, signed_zero: bool = False) -> pa.Array:
     """Each number as format_double() writes it.
 
     Of numbers from 1 to 1e10 the shortest decimal has at most 16 places and needs no rounding at full precision: these are printed
@@ -183,16 +183,16 @@ def format_doubles(xs: np.ndarray, precision: int = 16) -> pa.Array:
     if plain.all():
         return out
     names, code = np.unique(xs[~plain].view(np.int64), return_inverse=True)  # by bits, so that NaN is one
-    said = pa.array([tr.format_double(v, precision) for v in names.view(np.float64).tolist()], pa.string())
+    said = pa.array([tr.format_double(v, precision, signed_zero) for v in names.view(np.float64).tolist()], pa.string())
     at = np.full(len(xs), -1)
     at[~plain] = code
     return pc.if_else(pa.array(plain), out, said.take(pa.array(np.maximum(at, 0)))) if len(said) else out
 
 
-def coords_text(xs: np.ndarray, precision: int) -> pa.Array:
+def coords_text(xs: np.ndarray, precision: int, signed_zero: bool = False) -> pa.Array:
     """Ordinates of each coordinate with a space between."""
     n = len(xs)
-    flat = format_doubles(np.ascontiguousarray(xs).ravel(), precision)
+    flat = format_doubles(np.ascontiguousarray(xs).ravel(), precision, signed_zero)
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * xs.shape[1]), flat), " ")
 
 
@@ -202,13 +202,13 @@ def _enclosed(texts: pa.Array, offs: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(np.diff(offs) > 0), pc.binary_join_element_wise("(", pc.binary_join(lists, ", "), ")", ""), "EMPTY")
 
 
-def _native_to_wkt(t: G.GeometryType, precision: int, flat_multipoint: bool) -> Callable[[pa.Array], pa.Array]:
+def _native_to_wkt(t: G.GeometryType, precision: int, flat_multipoint: bool, signed_zero: bool = False) -> Callable[[pa.Array], pa.Array]:
     precision = precision if 0 <= precision <= 16 else 16
     tag = G.GEOMETRY_NAMES[t.geometry] + tr.TAGS[t.dims] + " "
 
     def run(values: pa.Array) -> pa.Array:
         offs, coords = _levels(values, G.DEPTH[t.geometry])
-        text = coords_text(_ordinates(coords, t), precision)
+        text = coords_text(_ordinates(coords, t), precision, signed_zero)
         if t.geometry == G.POINT or t.geometry == G.MULTIPOINT and not flat_multipoint:
             text = pc.binary_join_element_wise("(", text, ")", "")
         for o in reversed(offs):
@@ -257,17 +257,17 @@ class Runs:
             yield code, rows, offs, xs
 
 
-def _wkb_to_wkt(precision: int, flat_multipoint: bool) -> Callable[[pa.Array], pa.Array]:
+def _wkb_to_wkt(precision: int, flat_multipoint: bool, signed_zero: bool = False) -> Callable[[pa.Array], pa.Array]:
     precision = precision if 0 <= precision <= 16 else 16
 
     def run(values: pa.Array) -> pa.Array:
         runs, parts, where = Runs(values), [], []
         for code, rows, offs, xs in runs.groups():
-            body = _enclosed(coords_text(xs, precision), offs)
+            body = _enclosed(coords_text(xs, precision, signed_zero), offs)
             parts.append(pc.binary_join_element_wise(G.GEOMETRY_NAMES[code % 1000] + tr.TAGS[code // 1000 + 1] + " ", body, ""))
             where.append(rows)
         if len(runs.others):
-            parts.append(pa.array([tr.format_wkt(tr.parse_wkb(v)[0], precision, flat_multipoint) for v in values.take(pa.array(runs.others)).to_pylist()], pa.string()))
+            parts.append(pa.array([tr.format_wkt(tr.parse_wkb(v)[0], precision, flat_multipoint, signed_zero=signed_zero) for v in values.take(pa.array(runs.others)).to_pylist()], pa.string()))
             where.append(runs.others)
         if not parts:
             return pa.nulls(len(values), pa.string())
@@ -278,13 +278,13 @@ def _wkb_to_wkt(precision: int, flat_multipoint: bool) -> Callable[[pa.Array], p
     return run
 
 
-def convert(col: Column, frm: G.GeometryType, to: G.GeometryType, *, strict: bool = False, precision: int = 16, flat_multipoint: bool = True) -> Column:
-    """``col`` of type ``frm`` as type ``to``; a value that cannot be converted fails the query."""
+def convert(col: Column, frm: G.GeometryType, to: G.GeometryType, *, strict: bool = False, precision: int = 16, flat_multipoint: bool = True, signed_zero: bool = False) -> Column:
+    """``col`` of type ``frm`` as type ``to``; a value that cannot be converted fails the query.  ``signed_zero`` writes -0.0 as -0 in text."""
     if not frm.serialized and frm.geometry != G.BOX and to.serialized:
-        return _udf(to.spark_type(), _native_to_wkb(frm) if to.id in G.BINARY else _native_to_wkt(frm, precision, flat_multipoint))(col)
+        return _udf(to.spark_type(), _native_to_wkb(frm) if to.id in G.BINARY else _native_to_wkt(frm, precision, flat_multipoint, signed_zero))(col)
     if frm.id in G.BINARY and to.id in G.TEXT:
-        return _udf(T.StringType(), _wkb_to_wkt(precision, flat_multipoint))(col)
-    read, write = reader(frm), writer(to, precision, flat_multipoint, strict)
+        return _udf(T.StringType(), _wkb_to_wkt(precision, flat_multipoint, signed_zero))(col)
+    read, write = reader(frm), writer(to, precision, flat_multipoint, strict, signed_zero)
     return _each(to.spark_type(), lambda v: write(read(v)))(col)
 
 
