@@ -3,7 +3,8 @@
 A text is cut into matches of a pattern; each match is encoded on its own.  Matches that a worker has not met are put into
 zero-padded numpy matrices of similar length; in each round every row merges its leftmost pair of the least rank, found in a
 hashed table of pairs, and the row is closed up.  A match beyond the longest matrix takes the same merges in the same order from a heap
-over linked ids, so its time grows with n log n.  A worker remembers a bounded number of pieces and their ids.
+over linked ids, so its time grows with n log n.  A worker remembers pieces and their ids up to a bound in bytes, and lets go of all
+soon after its last task: Spark keeps workers, and what they hold would lie beside the memory of whatever runs next.
 
 Defined cases: a null text is empty; empty texts have no ids; repeated rows are encoded each, also without a doc_id (which stays null);
 an empty table gives an empty result; other columns are ignored.
@@ -16,6 +17,7 @@ import gc
 import hashlib
 import heapq
 import os
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -26,8 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 
-#: Pieces a worker remembers, at most (two generations of half as many).
-REMEMBERED = 400_000
+#: Bytes of pieces that a worker remembers, about (two generations of half as many), and what a piece takes besides its letters and ids.
+REMEMBERED, PIECE_BYTES = 128 << 20, 300
+#: Seconds after its last task until a worker lets go of the encoder.
+IDLE = 3.0
 #: Lengths of padded matrices.
 BUCKETS = (4, 8, 12, 16, 24, 32, 64)
 
@@ -91,7 +95,7 @@ class Bpe:
         self.tokens = {i: t for t, i in ranks.items()}
         self.spaced: list[dict] = [{}, {}]
         self.firsts: list[dict] = [{}, {}]
-        self.half = remembered // 2
+        self.held, self.half = 0, remembered // 2  # bytes of the younger generations, and how many they may have
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece."""
@@ -201,8 +205,8 @@ class Bpe:
         others than ``units`` may be returned too.
         """
         young, old = cache
-        todo = []
-        for u in units.difference(young):
+        todo, new = [], units.difference(young)
+        for u in new:
             if (x := old.get(u)) is None:
                 todo.append(u)
             else:
@@ -214,8 +218,7 @@ class Bpe:
         for u, ps in zip(todo, pieces, strict=True):
             ids = each[ps[0]] if len(ps) == 1 else [i for p in ps for i in each[p]]
             young[u] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-        if len(young) > self.half:  # what was used since the last time is the older generation
-            cache[:] = [{}, young]
+        self.held += sum(PIECE_BYTES + len(said) + 3 * len(raw) for said, _, raw in map(young.__getitem__, new))
         return young
 
     def decode(self, ids: list[int]) -> bytes:
@@ -232,6 +235,8 @@ class Bpe:
             spaced.update(rest)
         known = self._known(spaced, self.spaced, " ").__getitem__
         firsts = self._known({u for first, _ in units for u in first}, self.firsts, "").__getitem__
+        if self.held > self.half:  # what was used since the last time is the older generation
+            self.spaced, self.firsts, self.held = [{}, self.spaced[0]], [{}, self.firsts[0]], 0
         return [[*map(firsts, first), *map(known, rest)] for first, rest in units]
 
     def units(self, text: str) -> tuple[list[str], list[str]]:
@@ -266,11 +271,28 @@ def _made(path: str, pattern: str, written: tuple[int, int]) -> Bpe:
 
 
 def made(path: str, pattern: str) -> Bpe:
-    """The worker's encoder: its tables and what it remembers serve all tasks of the worker, until another file is asked for."""
+    """The worker's encoder: its tables and what it remembers serve all tasks of the worker, until another file is asked for or none has run for a while."""
     at = os.stat(path)
     return _made(path, pattern, (at.st_mtime_ns, at.st_size))
 
 
+_idle: list[threading.Timer] = []
+
+
+@contextmanager
+def _task() -> Iterator[None]:
+    """Around a task of a worker: without another one the encoder goes after IDLE seconds.  A task that begins just then makes its own."""
+    while _idle:
+        _idle.pop().cancel()
+    try:
+        yield
+    finally:
+        timer = threading.Timer(IDLE, _made.cache_clear)
+        timer.daemon = True
+        _idle.append(timer)
+        timer.start()
+
+
 @contextmanager
 def _uncollected() -> Iterator[None]:
     """Without the search for cycles, of which encoding makes none: it would walk through all that is remembered again and again."""
@@ -284,8 +306,7 @@ def _uncollected() -> Iterator[None]:
 
 
 def _digests(path: str, pattern: str, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = made(path, pattern)
+    def digests(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in C.slices(whole, limit=2 * C.SLICE_BYTES):
                 n, a, d, ids = [], [], [], []
@@ -305,6 +326,10 @@ def _digests(path: str, pattern: str, with_ids: bool):
                 else:
                     yield pa.RecordBatch.from_arrays(cols, schema=_OUT)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _task():
+            yield from digests(batches, made(path, pattern))
+
     return run
 
 

@@ -193,6 +193,33 @@ def test_byte_bpe_encoder_is_made_once(tmp_path):
     assert bpe.made(str(path), r"\w+|\W").ids("aba ab") == [256, 97, 32, 256]
 
 
+def test_byte_bpe_encoder_goes_when_idle(monkeypatch):
+    """A worker that Spark keeps for other operators holds no encoder, nor what it remembers, once no task of it runs."""
+    import time
+
+    monkeypatch.setattr(bpe, "IDLE", 0.3, raising=False)
+    run = bpe._digests(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, False)
+    batch = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array(["some words"])})
+    first = next(iter(run(iter([batch])))).to_pylist()
+    assert list(run(iter([batch])))[0].to_pylist() == first and bpe._made.cache_info().currsize == 1
+    for _ in range(100):
+        if not bpe._made.cache_info().currsize:
+            break
+        time.sleep(0.1)
+    assert bpe._made.cache_info().currsize == 0
+    assert list(run(iter([batch])))[0].to_pylist() == first
+
+
+def test_byte_bpe_remembers_bytes():
+    """What is remembered is bounded by bytes, however long the pieces are."""
+    own = bpe.Bpe({bytes([i]): i for i in range(256)}, r"\w+|\W", 1 << 20)
+    for i in range(40):
+        text = " ".join(f"{i}x{j}" + "y" * 2000 for j in range(20))
+        assert own.ids(text) == list(text.encode())
+    kept = {id(x): len(x[0]) + len(x[2]) for cache in (own.spaced, own.firsts) for young in cache for x in young.values()}
+    assert 0 < sum(kept.values()) <= 1 << 20
+
+
 def test_byte_bpe_of_long_matches():
     import random
     import time
