@@ -330,6 +330,17 @@ def test_near_dedup(docs, empty, spark):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_moves_texts_once(spark, docs, monkeypatch):
+    """One pass over the texts sets apart those that are compared, and one over the buckets' centres asks for links: each more shuffles all again."""
+    staged, stage = [], near_dedup.C.stage
+    monkeypatch.setattr(near_dedup.C, "stage", lambda df, label: (staged.append((label, df.columns)), stage(df, label))[1])
+    near_dedup.judge(docs, 5)
+    assert [label for label, columns in staged if "text" in columns] == ["held"]
+    labels = [label for label, _ in staged]
+    assert "own" not in labels and labels[: labels.index("edges")].count("links") == 1
+    assert "near" not in labels
+
+
 def test_near_dedup_of_a_large_group_with_outliers(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 3)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
